@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,3 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, limit=4, seed=42)
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=0.05)
+
+
+ORACLE_SQL["op5_benchmark_decontamination"] = decontaminate.ORACLE_SQL
+
+
+@query("op8_mixing_sources")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0, seed=0)
+
+
+ORACLE_SQL["op8_mixing_sources"] = mixing.ORACLE_SQL
