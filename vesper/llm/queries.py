@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, langid, mixing, simhash, tokens
+from . import decontaminate, embeddings, langid, lm, mixing, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,3 +63,8 @@ ORACLE_SQL["op6_embedding_near_dedup"] = embeddings.ORACLE_SQL
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"), folds=3, held_out=1)
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"), folds=10, held_out=0, states=8, rounds=2)
