@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html, langid, lm, mixing, pii, simhash, tokens
+from . import decontaminate, embeddings, html, langid, lm, mixing, passages, pii, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,3 +78,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_html_extraction")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"), least=50, identity=0.8)
+
+
+QUERIES = dict(sorted(QUERIES.items(), key=lambda q: int(q[0][2:].split("_")[0])))
