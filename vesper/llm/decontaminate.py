@@ -229,18 +229,18 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc
 
     # what further passes found joins by the row's id and text, and is united
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    more = reduce(DataFrame.unionByName, [p.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col("hit_spans").alias("_spans"), F.col("hit_items").alias("_items")) for p in passes[1:]])
-    more = more.groupBy("_id", "_hash").agg(F.flatten(F.collect_set("_spans")).alias("_spans"), F.flatten(F.collect_set("_items")).alias("_items"))
-    both = passes[0].join(more, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left")
+    more = reduce(DataFrame.unionByName, [p.select(F.col(id_col).alias("_vesper_id"), F.xxhash64(text_col).alias("_vesper_hash"), F.col("hit_spans").alias("_vesper_spans"), F.col("hit_items").alias("_vesper_items")) for p in passes[1:]])
+    more = more.groupBy("_vesper_id", "_vesper_hash").agg(F.flatten(F.collect_set("_vesper_spans")).alias("_vesper_spans"), F.flatten(F.collect_set("_vesper_items")).alias("_vesper_items"))
+    both = passes[0].join(more, F.col(id_col).eqNullSafe(F.col("_vesper_id")) & (F.xxhash64(text_col) == F.col("_vesper_hash")), "left")
 
     def add(out, x):
         last = F.try_element_at(out, F.lit(-1))
         longer = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
         return F.when(F.size(out) == 0, F.array(x)).when(x["start"] <= last["end"], longer).otherwise(F.concat(out, F.array(x)))
 
-    united = F.aggregate(F.array_sort(F.concat("hit_spans", F.coalesce("_spans", empty))), empty, add)
-    names = F.array_sort(F.array_union("hit_items", F.coalesce("_items", F.array().cast("array<string>"))))
-    return both.withColumn("hit_spans", united).withColumn("hit_items", names).drop("_id", "_hash", "_spans", "_items")
+    united = F.aggregate(F.array_sort(F.concat("hit_spans", F.coalesce("_vesper_spans", empty))), empty, add)
+    names = F.array_sort(F.array_union("hit_items", F.coalesce("_vesper_items", F.array().cast("array<string>"))))
+    return both.withColumn("hit_spans", united).withColumn("hit_items", names).drop("_vesper_id", "_vesper_hash", "_vesper_spans", "_vesper_items")
 
 
 def _apply(docs: DataFrame, machine, text_col: str) -> DataFrame:

@@ -28,6 +28,8 @@ NEVER = frozenset("head script style title template noscript datalist iframe noe
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an end tag or an implied end tag doesn't reach through.
 SCOPE = frozenset("table td th caption html template object marquee".split())
+#: Tags that mean nothing outside of a table.
+IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 ENDS_P = BLOCK - frozenset("body html dd dt li tr thead tbody tfoot caption legend optgroup option".split())
 #: start tag: (elements that it ends, elements at which the search stops)
 IMPLIED = {
@@ -53,7 +55,6 @@ SPAN = 100
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|=)")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?$")
 
 
@@ -160,7 +161,7 @@ def tree(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
         elif kind == "open":
             if name == "image":
                 name = "img"
-            if name in ("html", "body") and count[name]:
+            if name in ("html", "body") and count[name] or name in IN_TABLE and not count["table"]:
                 continue
             if name == "body" and count["head"]:
                 yield from pop_to(stack.index("head"))
@@ -258,9 +259,10 @@ class Lines:
             if i:
                 self.newline()
             if line:
+                between = " " if self.space and self.now and not self.gap else ""
                 self._begin()
-                self.now.append(line)
-        self.space = False
+                self.now.append(between + line)
+                self.space = False
 
     def newline(self) -> None:
         if not self.now or self.gap:
@@ -325,10 +327,21 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 def hidden_by_sheets(sheet: str) -> tuple[set, set, set]:
     """(tag, class or None), (tag or None, class), ids that simple rules outside of blocks hide."""
     tags, classes, ids = set(), set(), set()
-    sheet = re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)
-    depth_free = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", "", sheet)
-    for selectors, body in _RULE.findall(depth_free):
-        if _hides(body) is True:
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL)
+    rules, depth, begin, inside = [], 0, 0, 0
+    for m in re.finditer("[{};]", sheet):
+        if m[0] == "{":
+            depth += 1
+            if depth == 1:
+                inside = m.end()
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if not depth:
+                rules.append((sheet[begin : inside - 1], sheet[inside : m.start()]))
+        if not depth:
+            begin = m.end()
+    for selectors, body in rules:
+        if not selectors.lstrip().startswith("@") and "{" not in body and _hides(body) is True:
             for selector in selectors.split(","):
                 m = _SIMPLE.match(selector.strip())
                 if m and (m[1] or m[3]):
@@ -377,7 +390,7 @@ def render(page: str | None) -> str:
         return ""
     tags, classes, ids = set(), set(), set()
     if "<style" in page or "<STYLE" in page:
-        for m in re.finditer(r"<style\b[^>]*>(.*?)</style", page, re.IGNORECASE | re.DOTALL):
+        for m in re.finditer(r"<style\b[^<>]*>(.*?)(?:</style|\Z)", page, re.IGNORECASE | re.DOTALL):
             if "none" in m[1] or "hidden" in m[1]:
                 for into, found in zip((tags, classes, ids), hidden_by_sheets(m[1]), strict=True):
                     into |= found
@@ -470,7 +483,8 @@ def render(page: str | None) -> str:
                 elif name == "caption":
                     out.block(1)
             elif name in ("pre", "textarea", "listing", "xmp", "plaintext"):
-                out.block(2 if name != "textarea" else 0)
+                if name != "textarea":
+                    out.block(2)
                 pre += 1
             elif name == "select":
                 select.append([None, False, []])
@@ -524,7 +538,8 @@ def render(page: str | None) -> str:
             out.block(2)
         elif name in ("pre", "textarea", "listing", "xmp", "plaintext"):
             pre -= 1
-            out.block(2 if name != "textarea" else 0)
+            if name != "textarea":
+                out.block(2)
         elif name == "option" and select:
             select[-1][1] = False
         elif name == "select" and select:

@@ -325,7 +325,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
     # a text without a letter reads as empty: marks alone don't make a language
     letters = F.when(F.col(text_col).rlike("\\p{L}"), F.col(text_col))
-    return docs.withColumn("_letters", letters).mapInArrow(run, schema)
+    return docs.withColumn("_vesper_letters", letters).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -92,10 +92,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     A column `copy` of docs is replaced. Empty documents count as documents of
     size 0 and are drawn like others. An empty table gives an empty mix.
     """
-    planned = plan(docs, weights, most, seed, id_col, text_col, source_col).where("copies > 0").select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    sized = docs.drop("copy").withColumn("_words", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    joined = sized.join(planned, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_source", "_size", "_copies", "_words")
+    planned = plan(docs, weights, most, seed, id_col, text_col, source_col).where("copies > 0").select(F.col("id").alias("_vesper_id"), F.col("source").alias("_vesper_source"), F.col("size").alias("_vesper_size"), F.col("copies").alias("_vesper_copies"))
+    sized = docs.drop("copy").withColumn("_vesper_words", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
+    joined = sized.join(planned, F.col(id_col).eqNullSafe(F.col("_vesper_id")) & F.col(source_col).eqNullSafe(F.col("_vesper_source")) & (F.col("_vesper_words") == F.col("_vesper_size")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_vesper_copies")))).drop("_vesper_id", "_vesper_source", "_vesper_size", "_vesper_copies", "_vesper_words")
 
 
 #: DuckDB SQL of report() with its defaults over the table documents.

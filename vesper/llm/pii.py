@@ -107,14 +107,14 @@ def _edge(c: Column) -> Column:
     return F.when((c == "") | c.rlike(r"^\s"), 0).when(c.rlike(r"^[\p{L}\p{N}]"), 1).when(c.rlike(r"^[.,;:!?)\]}]"), 2).otherwise(3)
 
 
-def candidates(docs: DataFrame, text_col: str = "text", name: str = "_spans") -> DataFrame:
+def candidates(docs: DataFrame, text_col: str = "text", name: str = "_vesper_spans") -> DataFrame:
     """docs with an array column of proposed spans: kind (number in KINDS), start, end, base, votes, length, before, after.
 
     Spans of the strict patterns are base. A loose one that overlaps a base span is dropped.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_base", F.concat(*[_proposed(text, k, True) for k in KINDS])).withColumn("_loose", F.concat(*[_proposed(text, k, False) for k in KINDS]))
-    apart = F.when(F.size("_loose") > 0, F.filter("_loose", lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))).otherwise(F.col("_loose"))
+    out = docs.withColumn("_vesper_base", F.concat(*[_proposed(text, k, True) for k in KINDS])).withColumn("_vesper_loose", F.concat(*[_proposed(text, k, False) for k in KINDS]))
+    apart = F.when(F.size("_vesper_loose") > 0, F.filter("_vesper_loose", lambda x: ~F.exists(F.col("_vesper_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))).otherwise(F.col("_vesper_loose"))
 
     def describe(s: Column) -> Column:
         front = F.substring(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE)))
@@ -126,10 +126,10 @@ def candidates(docs: DataFrame, text_col: str = "text", name: str = "_spans") ->
         size = F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(4)).cast("int")
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), votes.alias("votes"), size.alias("length"), _edge(F.reverse(front)).alias("before"), _edge(behind).alias("after"))
 
-    spans = F.concat("_base", apart)
+    spans = F.concat("_vesper_base", apart)
     # evaluated for texts with spans only
     none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,length:int,before:int,after:int>>")
-    return out.withColumn(name, F.when(F.size(spans) > 0, F.transform(spans, describe)).otherwise(none)).drop("_base", "_loose")
+    return out.withColumn(name, F.when(F.size(spans) > 0, F.transform(spans, describe)).otherwise(none)).drop("_vesper_base", "_vesper_loose")
 
 
 @dataclass
@@ -145,7 +145,7 @@ class Classifier:
 FEATURES = ("length", "before", "after")
 
 
-def fit(spans: DataFrame, name: str = "_spans", rounds: int = 25) -> Classifier:
+def fit(spans: DataFrame, name: str = "_vesper_spans", rounds: int = 25) -> Classifier:
     """Expectation-maximisation over combinations of votes, then the classifier's weights from the spans' probabilities."""
     each = spans.select(F.explode(name).alias("s")).select("s.*")
     rows = each.groupBy("kind", "votes", *FEATURES).agg(F.count("*").alias("n")).limit(COMBINATIONS).collect()  # the limit is what can occur
@@ -209,12 +209,12 @@ def find(docs: DataFrame, text_col: str = "text", least: float = 0.5, name: str
     reliabilities come from all texts of docs.
     """
     proposed = candidates(docs.drop(name), text_col)
-    model = fit(proposed.select("_spans"))
-    scored = F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), probability(model, s).alias("score")))
+    model = fit(proposed.select("_vesper_spans"))
+    scored = F.transform("_vesper_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), probability(model, s).alias("score")))
     kept = F.array_sort(F.filter(scored, lambda s: s["base"] | (s["score"] >= least)))
     named = F.transform(kept, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
-    return proposed.withColumn(name, F.when(F.size("_spans") > 0, named).otherwise(none)).drop("_spans")
+    return proposed.withColumn(name, F.when(F.size("_vesper_spans") > 0, named).otherwise(none)).drop("_vesper_spans")
 
 
 def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -222,9 +222,9 @@ def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
 
     A text without spans, null included, stays as it is.
     """
-    found = find(docs, text_col, least, "_pii")
+    found = find(docs, text_col, least, "_vesper_pii")
     text = F.col(text_col)
-    ordered = F.array_sort(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("_vesper_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
@@ -232,7 +232,7 @@ def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0))))
     masked = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return found.withColumn(text_col, F.when(F.size("_pii") > 0, masked).otherwise(text)).drop("_pii").select(*[f"`{c}`" for c in docs.columns])
+    return found.withColumn(text_col, F.when(F.size("_vesper_pii") > 0, masked).otherwise(text)).drop("_vesper_pii").select(*[f"`{c}`" for c in docs.columns])
 
 
 def report(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
