@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .session import bound_batches
 
 #: Words of items in one automaton; more items take further automata and passes.
 AUTOMATON_WORDS = 1_000_000
@@ -219,6 +220,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc
     words; a null or wordless text or item has none. An item without an id is
     left out. Columns of docs with the added names are replaced.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("n_words", "hit_spans", "hit_items")
     passes = []
     for block in _blocks_of_items(items, item_id, item_text):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .session import cut
+from .session import bound_batches, cut
 from .simhash import key_groups
 
 #: Different vectors that the codebooks are fitted on at most.
@@ -212,6 +212,7 @@ def near_duplicates(table: DataFrame, least: float = 0.95, recall: float = 0.99,
     index holds every row; its codebooks come from at most SAMPLE different
     vectors, chosen by hash.
     """
+    bound_batches(table.sparkSession)
     rows, dtype = vectors(table, id_col, vector_col)
     rows = cut(rows.withColumn("node", F.xxhash64("v")))
     distinct = cut(rows.where("v is not null").groupBy("node", "v").agg(F.min(id_col).alias("rep"), F.count("*").alias("n")))

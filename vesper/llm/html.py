@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bound_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr frame keygen basefont bgsound".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("textarea title".split())
@@ -555,6 +557,7 @@ def render(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id_col and text (the visible text of html_col) for each row of pages; other columns aren't read."""
+    bound_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

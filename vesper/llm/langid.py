@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .session import bound_batches
 
 #: Rows of each language that the models are fitted on, about; chosen by hash of the id.
 SAMPLE_ROWS = 3000
@@ -29,6 +30,8 @@ LANGUAGES = 200
 ALPHABET = 60
 #: Characters of an n-gram, at most four: codes are packed in 24 bits.
 ORDER = 4
+#: Bytes of text that are scored at once.
+BLOCK_BYTES = 1 << 20
 _BITS = np.uint64(6)
 #: Symbol of what lies around words, and of rare characters.
 SPACE, RARE = 0, 1
@@ -203,6 +206,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Rows without text or language teach nothing. Every fifth of the chosen rows is
     held back to calibrate rejection. Raises ValueError where no language is left.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[lang_col]: r["count"] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     if not sizes:
@@ -300,20 +304,22 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     docs = docs.drop("lang_pred", "score", "entropy", "lang_rejected")
     held = docs.sparkSession.sparkContext.broadcast(models)
     names = docs.columns
+    at = [n.lower() for n in names].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         known = np.array([*held.value.languages, "und"], object)
         for batch in batches:
             best, score, bits_of, rejected = [], [], [], []
-            for _, _, data, offsets in K.blocks(batch.column(len(names))):
+            letters = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            for first, end, data, offsets in K.blocks(batch.column(at), BLOCK_BYTES):
                 bits, chars = scorer.entropies(data, offsets)
                 order = np.argsort(bits, axis=1, kind="stable")
                 top = order[:, 0]
-                at = np.arange(len(top))
-                own = bits[at, top]
-                margin = bits[at, order[:, 1]] - own if bits.shape[1] > 1 else np.full(len(top), 99.0)
-                none = chars < 1
+                rows = np.arange(len(top))
+                own = bits[rows, top]
+                margin = bits[rows, order[:, 1]] - own if bits.shape[1] > 1 else np.full(len(top), 99.0)
+                none = ~letters[first:end]
                 best.append(np.where(none, len(known) - 1, top))
                 score.append(np.where(none, 0.0, 1 / (1 + np.exp(-np.minimum(held.value.slope * margin, 50)))))
                 bits_of.append(np.where(none, np.nan, own))
@@ -323,8 +329,9 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(known[cat(best, int)], pa.string()), pa.array(cat(score, float)), pa.array(entropy, mask=np.isnan(entropy)), pa.array(cat(rejected, bool))], names=[*names, "lang_pred", "score", "entropy", "lang_rejected"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
-    # a text without a letter reads as empty: marks alone don't make a language
-    letters = F.when(F.col(text_col).rlike("\\p{L}"), F.col(text_col))
+    bound_batches(docs.sparkSession)
+    # marks alone don't make a language
+    letters = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     return docs.withColumn("_vesper_letters", letters).mapInArrow(run, schema)
 
 

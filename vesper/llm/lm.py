@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import cut
+from .session import bound_batches, cut
 
 #: Words whose counts the workers hold (16 bytes each), and those with a class of their own.
 FREQUENT, TOP = 1 << 19, 4096
@@ -346,6 +346,7 @@ def report(docs: DataFrame, folds: int = 10, held_out: int = 0, states: int = ST
     words are unseen. Repeated rows have equal scores. Other columns aren't read.
     """
     out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == held_out, F.lit(False))
+    bound_batches(docs.sparkSession)
     learn = docs.where(~out).select(id_col, text_col)
     table, words = vocabulary(learn, text_col)
     model = train(learn, words, id_col, text_col, states, rounds, seed)

@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of at most so many bytes, where the session has no bound of its own: a worker holds a few of them, and kernels' arrays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "67108864"):  # the default
+        spark.conf.set(key, size)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read from there: they outlive lost executors."""
     shared_folder(frame.sparkSession)

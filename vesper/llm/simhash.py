@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components, forest
-from .session import cut
+from .session import bound_batches, cut
 
 #: Fingerprints that one task holds of a cell's two blocks at most.
 BLOCK = 4096
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others; rows that repeat an id keep a row each; rows without an id have their
     fingerprint's component. Other columns of docs aren't read.
     """
+    bound_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
     found = components(links(distinct, limit)).select(F.col("node").alias("fp"), "component")

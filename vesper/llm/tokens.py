@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import scratch
+from .session import bound_batches, scratch
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 #: Different words whose counts a worker keeps, and the longest that it keeps, in bytes.
@@ -105,6 +105,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     for this call. Other columns of docs aren't read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     digest_of_tokenizer, data = version(tokenizer)
     cache = cache or scratch(spark, "token-cache")
     text = F.coalesce(F.col(text_col), F.lit(""))
