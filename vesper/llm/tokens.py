@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,6 +56,51 @@ def splits_at_space(path: str, data: bytes) -> bool:
     return bool(pattern) and plain and whole and special and first.get("behavior") == "Removed" and first.get("invert") is True and set(normal) <= {"NFC", "Replace", "Lowercase"}
 
 
+def piece_counter(tokenizer, data: bytes) -> Callable[[list[bytes]], dict[bytes, int]] | None:
+    """Counts words of plain characters by what the library's model makes of their pieces; leaves out all other words.
+
+    Plain are printable ASCII and the precomposed Latin letters up to U+017F that
+    composition leaves alone and lower-casing maps one to one. Their pieces are
+    those of the tokenizer's own pattern. None if the tokenizer does anything else.
+    """
+    spec = json.loads(data)
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    after = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[1:]
+    model = spec["model"]
+    if kinds != ["NFC", "Replace", "Lowercase"] or [a.get("type") for a in after] != ["ByteLevel"] or after[0]["add_prefix_space"] or after[0]["use_regex"] or model["type"] != "BPE" or model["dropout"]:
+        return None
+    letters, digits = "a-z\u00df-\u00f6\u00f8-\u017f", "0-9"
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    find = re.compile(pattern.replace("\\p{L}", letters).replace("\\p{N}", digits)).findall
+    plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*").fullmatch
+    special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)").search
+    # the byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    byte_level = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(rest)})
+    tokenize = tokenizer.model.tokenize
+    memo: dict[str, int] = {}
+
+    def count(words: list[bytes]) -> dict[bytes, int]:
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        out = {}
+        for word in words:
+            text = word.decode()
+            if plain(text) and not special(text):
+                n = 0
+                for piece in find(text.lower()):
+                    if (k := memo.get(piece)) is None:
+                        k = len(tokenize(piece.encode().decode("latin-1").translate(byte_level)))
+                        if len(piece) <= MEMO_BYTES:
+                            memo[piece] = k
+                    n += k
+                out[word] = n
+        return out
+
+    return count
+
+
 def counter(path: str, data: bytes) -> Callable[[list[bytes]], list[int]]:
     """A function from texts (UTF-8) to their token counts."""
     if path.endswith(".model"):
@@ -73,13 +119,18 @@ def counter(path: str, data: bytes) -> Callable[[list[bytes]], list[int]]:
     if not splits_at_space(path, data):
         return whole
     memo: dict[bytes, int] = {}
+    pieces = piece_counter(tokenizer, data)
+
+    def count_words(new: list[bytes]) -> dict[bytes, int]:
+        out = pieces(new) if pieces else {}
+        rest = [w for w in new if w not in out]
+        return out | dict(zip(rest, whole(rest), strict=True))
 
     def by_word(texts: list[bytes]) -> list[int]:
         split = [t.split() for t in texts]  # at ASCII white space
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = list({w for words in split for w in set(words).difference(memo)})
-        found = dict(zip(new, whole(new), strict=True))
+        found = count_words(list({w for words in split for w in set(words).difference(memo)}))
         memo.update((w, n) for w, n in found.items() if len(w) <= MEMO_BYTES)
         rest = {w: n for w, n in found.items() if len(w) > MEMO_BYTES}
         if rest:
