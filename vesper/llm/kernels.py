@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that one call of a kernel gets at most, unless a single document is longer.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _BYTES = np.arange(256)
 #: A-Z to a-z, all other bytes as they are.
