@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import bound_batches, scratch
+from .session import bound_batches, cut, scratch
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 #: Different words whose counts a worker keeps, and the longest that it keeps, in bytes.
@@ -181,5 +181,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     new = missing.mapInArrow(encode, "digest binary, n_tokens bigint")
     new.select(F.lit(digest_of_tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == digest_of_tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = cut(counts)  # so that the join has a shuffle of its own, whose large partitions are split
     rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest"))
     return rows.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("digest"))
