@@ -68,6 +68,18 @@ to_signed = by_row(lambda b: i8(b).astype(np.int32).tolist(), "array<int>")
 from_ints = by_row(lambda v: (np.asarray(v, np.int64) % 256).astype(np.uint8).tobytes(), "binary")
 to_words = by_row(lambda b: np.frombuffer(b, "<i8").tolist(), "array<bigint>")
 
+
+
+def _apply(values: list[int], changes: list[dict]) -> list[int]:
+    out = np.array(values, np.int64)
+    for c in changes:
+        out[c["pos"]] ^= c["xor"]
+    return out.tolist()
+
+
+#: An element vector with a compact delta applied.
+apply_compact = by_row(_apply, "array<int>")
+
 # carriers
 
 carrier_encode = by_row(lambda c, f, phase, amp: K.carrier_encode(i8(c), f, phase, amp).tobytes(), "binary")

@@ -79,12 +79,6 @@ def saturating_add_i8(a, b) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: F.greatest(F.lit(-128), F.least(F.lit(127), x + y)))
 
 
-def permute(a, inverse: Column | list[int]) -> Column:
-    """out[p[i]] = a[i], given the inverse of p."""
-    where = F.array(*[F.lit(i) for i in inverse]) if isinstance(inverse, list) else inverse
-    return F.transform(where, lambda i: F.get(_c(a), i))
-
-
 def is_clean(a) -> Column:
     return F.forall(_c(a), lambda x: x == 0)
 
@@ -209,6 +203,11 @@ def sampled_l1(a, b, parts: int) -> Column:
 # focus addresses: masks over 8 x 8 x 32 bytes
 
 
+def bit(n: Column) -> Column:
+    """The n-th bit as a long."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+
 def pack_focus(mx, my, mz) -> Column:
     return _c(mx).cast("long").bitwiseOR(F.shiftleft(_c(my).cast("long"), 8)).bitwiseOR(F.shiftleft(_c(mz).cast("long"), 16))
 
@@ -222,8 +221,8 @@ def focus_mask(mx, my, mz) -> Column:
     """2048 elements: 255 inside the region, 0 outside. Byte index = x * 256 + y * 32 + z."""
 
     def inside(i):
-        bit = lambda m, n: F.shiftright(_c(m).cast("long"), 0).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), n)) != 0
-        return F.when(bit(mx, F.floor(i / 256).cast("int")) & bit(my, (F.floor(i / 32) % 8).cast("int")) & bit(mz, (i % 32).cast("int")), 255).otherwise(0)
+        has = lambda m, n: _c(m).cast("long").bitwiseAND(bit(n)) != 0
+        return F.when(has(mx, F.floor(i / 256)) & has(my, F.floor(i / 32) % 8) & has(mz, i % 32), 255).otherwise(0)
 
     return F.transform(F.sequence(F.lit(0), F.lit(2047)), inside)
 
@@ -243,8 +242,3 @@ def focus_add(a, mask, value, sign: int = 1) -> Column:
 def compact_delta(delta) -> Column:
     """array<struct<pos, xor>> of the bytes that differ; its wire size is 8 + 3 bytes for each."""
     return F.filter(F.transform(_c(delta), lambda x, i: F.struct(i.alias("pos"), x.alias("xor"))), lambda s: s["xor"] != 0)
-
-
-def apply_compact(a, changes) -> Column:
-    table = F.map_from_entries(F.transform(_c(changes), lambda s: F.struct(s["pos"], s["xor"])))
-    return F.transform(_c(a), lambda x, i: x.bitwiseXOR(F.coalesce(F.element_at(table, i), F.lit(0))))

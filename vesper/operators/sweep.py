@@ -77,10 +77,10 @@ def measure_axes(d: int, base: tuple[str, int], axes: int, k: int, depth: int, s
 
 def grid(spark: SparkSession, dims=DIMS, bases=BASES, axes=AXES, bundles=BUNDLES, depths=DEPTHS, repetitions: int = 1) -> DataFrame:
     """(d, kind, size, axes, k, bind_depth, rep): all settings of at most as many roles as axes and a tenth of d concepts."""
-    column = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    kinds = spark.createDataFrame(list(bases), "kind string, size int")
-    whole = column("d", dims).crossJoin(kinds).crossJoin(column("axes", axes)).crossJoin(column("k", bundles)).crossJoin(column("bind_depth", depths)).crossJoin(spark.range(repetitions).select(F.col("id").cast("int").alias("rep")))  # a grid of settings
-    return whole.where("bind_depth <= axes and k <= d / 10")
+    whole = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("size")) for k, n in bases])).alias("b")).select("b.*")
+    for name, values in (("d", dims), ("axes", axes), ("k", bundles), ("bind_depth", depths), ("rep", range(repetitions))):
+        whole = whole.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return whole.where("bind_depth <= axes and k <= d / 10").select("d", "kind", "size", "axes", "k", "bind_depth", "rep")
 
 
 def run(settings: DataFrame, seed: int = 42, partitions: int = 64) -> DataFrame:
