@@ -52,12 +52,13 @@ def fingerprints_of(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.nda
         raw = memoryview(joined.tobytes())
         hashes = np.fromiter((digest(raw[s:e], seed) for s, e in zip(to[start_word].tolist(), (to[last_word] + sizes[last_word]).tolist(), strict=True)), np.uint64, len(start_word))
         some = np.flatnonzero(n)
-        ones = np.empty((len(some), 64), np.int64)
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
-        for lo in range(0, len(some), 512):  # bounded sums, whatever the batch
-            part = some[lo : lo + 512]
-            a, b = upto[part[0]] - n[part[0]], upto[part[-1]]
-            ones[lo : lo + len(part)] = np.add.reduceat(bits[a:b], (upto[part] - n[part] - a), axis=0, dtype=np.int64)
+        # runs of at most 255 bits are summed in bytes, then these sums by document
+        begin = upto[some] - n[some]
+        runs = -(-n[some] // 255)
+        first_run = np.cumsum(runs) - runs
+        at = np.repeat(begin, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first_run, runs))
+        ones = np.add.reduceat(np.add.reduceat(bits, at, axis=0, dtype=np.uint8).astype(np.int64), first_run, axis=0)
         packed = np.packbits(2 * ones > n[some][:, None], axis=1)
         out[np.arange(first, end)[some]] = packed.view(">u8").ravel()
     return out
