@@ -5,7 +5,7 @@ vocabulary. The FREQUENT most frequent words are sent to the workers; other word
 of a text join the table by hash. Classes of the hidden Markov model are the TOP
 most frequent words, one each, and groups of other words by their last two bytes;
 a word's probability is its class's in a state times its share of the class. The
-model starts from a bounded sample; then every round of Baum-Welch takes expected
+model starts from a bounded sample of sequences from anywhere in the texts; then every round of Baum-Welch takes expected
 counts over all training texts, summed across partitions. Scores are exact: the
 scaled forward recursion over the whole text.
 """
@@ -31,8 +31,8 @@ GROUPS = 512
 STATES = 8
 #: Tokens of a sequence in training; a longer text is several sequences.
 SEGMENT = 64
-#: Training texts that the first parameters come from, about, and rounds over them.
-START_ROWS, START_ROUNDS = 1000, 15
+#: Sequences that the first parameters come from, about, and rounds over them.
+START_SEGMENTS, START_ROUNDS = 8192, 15
 ADD = 0.1
 #: The end token. Hashes of words are 64 bits of a mixing function; none is told apart from it.
 END = np.uint64(1)
@@ -245,23 +245,24 @@ def vocabulary(train: DataFrame, text_col: str) -> tuple[DataFrame, Vocabulary]:
     return words, Vocabulary(total, kinds, count_of, Table(own_hashes, np.arange(len(own)), -1), prior / prior.sum(), spread)
 
 
-def train(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str, states: int = STATES, rounds: int = 2, seed: int = 0) -> Hidden:
-    """Baum-Welch: first parameters from about START_ROWS texts chosen by hash, then rounds over all."""
+def train(docs: DataFrame, words: Vocabulary, text_col: str, states: int = STATES, rounds: int = 2, seed: int = 0) -> Hidden:
+    """Baum-Welch: first parameters from about START_SEGMENTS sequences chosen by hash, then rounds over all texts."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(words)
-    rows = max(1, docs.count())
-    share = min(1.0, START_ROWS / rows)
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("first parameters")), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(text_col).cast("string"))
+    share = min(1.0, START_SEGMENTS * SEGMENT / max(1, words.total))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in K.blocks(batch.column(0)):
                 hashes, group, of = tokens(data, offsets)
                 found = held.value.classes(hashes, group).astype(np.int16)
-                # a text's first 64 segments start the model; all its tokens count in the rounds over all texts
-                yield pa.RecordBatch.from_arrays([pa.array([found[a : min(b, a + 64 * SEGMENT)].tobytes() for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)], pa.binary())], names=["c"])
+                starts, length, _ = segments(of)
+                draw = K.mix(hashes[starts] ^ K.mix(hashes[starts + length - 1] + length.astype(np.uint64)))
+                chosen = np.flatnonzero((draw >> np.uint64(32)) < np.uint64(int(share * (1 << 32))))
+                yield pa.RecordBatch.from_arrays([pa.array([found[s : s + n].tobytes() for s, n in zip(starts[chosen].tolist(), length[chosen].tolist(), strict=True)], pa.binary())], names=["c"])
 
-    sample = [np.frombuffer(r.c, np.int16).astype(np.int64) for r in chosen.mapInArrow(classes, "c binary").limit(2 * START_ROWS).collect()]
+    # of copies one starts the model, so the number is near what is expected; the limit bounds the driver
+    sample = [np.frombuffer(r.c, np.int16).astype(np.int64) for r in docs.select(F.col(text_col).cast("string")).mapInArrow(classes, "c binary").distinct().limit(10 * START_SEGMENTS).collect()]
     sample.sort(key=lambda c: (len(c), c.tobytes()))  # whatever order they came in
     model = begin([(c, np.array([0, len(c)])) for c in sample], words.prior, states, seed)
     shapes = [a.shape for a in blank(states)]
@@ -349,6 +350,6 @@ def report(docs: DataFrame, folds: int = 10, held_out: int = 0, states: int = ST
     bound_batches(docs.sparkSession)
     learn = docs.where(~out).select(id_col, text_col)
     table, words = vocabulary(learn, text_col)
-    model = train(learn, words, id_col, text_col, states, rounds, seed)
+    model = train(learn, words, text_col, states, rounds, seed)
     scored = score(docs, table, words, model, id_col, text_col)
     return scored.select(id_col, out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
