@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from vesper.llm import kernels as K
 from vesper.llm import langid as L
 
@@ -66,6 +68,9 @@ def test_odd_rows(spark, odd, none, documents):
     assert got.count() == len(ODD) and L.identify(none, models).collect() == []
     with pytest.raises(ValueError):
         L.train(none)
+    assert L.report(none).collect() == []
+    unknown = L.report(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(unknown) == len(ODD) and {r.lang_pred for r in unknown} == {"und"}
     gibberish = spark.createDataFrame([(1, "qxzjk vwqxz " * 40)], "doc_id long, text string")
     assert L.identify(gibberish, models).first().lang_rejected
     assert L.identify(documents, models).where("lang_rejected").count() <= 1

@@ -336,8 +336,14 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
 
 
 def report(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """id_col, held_out, lang_pred, score, entropy, rejected; learnt from rows whose crc32(id as text) modulo folds isn't held_out."""
+    """id_col, held_out, lang_pred, score, entropy, rejected; learnt from rows whose crc32(id as text) modulo folds isn't held_out.
+
+    A row without an id teaches nothing. Where no row teaches a language, all
+    texts are `und`, score 0 and rejected; an empty table has no rows.
+    """
     out = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == held_out
+    if docs.where(~out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).isEmpty():
+        return docs.select(id_col, F.coalesce(out, F.lit(False)).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
     models = train(docs.select(id_col, text_col, lang_col).where(~out), id_col, text_col, lang_col, rows)
     found = identify(docs.select(id_col, text_col), models, id_col, text_col)
     return found.select(id_col, F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", F.col("lang_rejected").alias("rejected"))
