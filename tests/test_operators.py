@@ -266,3 +266,29 @@ def test_local_maxima_match_the_kernel(spark):
     frame = spark.createDataFrame(rows, "container_id int, x int, y int, z int, f int, amp double")
     got = {(r.x, r.y, r.z, r.f) for r in holograph.local_maxima(frame).collect()}
     assert got == {tuple(map(int, p)) for p in np.argwhere(cube >= K.neighbourhood_max(cube.astype(float), (0, 1, 2)))}
+
+
+def test_whole_runs(spark, tmp_path):
+    from vesper.plans import runs
+
+    path = tmp_path / "graph.json"
+    path.write_text(json.dumps(GRAPH))
+    rows = runs.base_summary(spark, str(path), 128, (("signed", 5), ("signed", 7))).collect()
+    assert [r.base for r in rows] == ["signed(5)", "signed(7)"] and all(r.edges == 3 and r.ghosts <= 11 for r in rows)
+    entities, edges = graphs.read(spark, str(path))
+    vecs, container, rest, _ = runs.encoded(entities, edges, 128, ("signed", 7))
+    found = runs.dual_scenarios(entities, edges, vecs, ("signed", 7), {"signed_strength": container, "organic_residual": rest.tolist()}, "One")
+    assert {k: f.count() for k, f in found.items()} == {"one": 3, "people": 0, "deployments": 1, "convergence": 3}
+    assert set(runs.timings(64, 64, 4)) == {"hyperplanes", "project_one", "project_hundred", "hamming", "readout"}
+
+
+def test_container_columns(spark):
+    from vesper.functions import columns as C
+    from vesper.functions import kernels as K
+
+    c = K.gabor_write(np.zeros(K.SIZE, np.int8), 1.5, 3, 4, 10, 5, 0.7, 60.0).tobytes()
+    frame = spark.createDataFrame([(c, bytes(2048), [1, 2, 3], 7)], "c binary, o binary, v array<int>, k int")
+    known = F.array(F.struct(F.lit(3).alias("x"), F.lit(4).alias("y"), F.lit(10).alias("z"), F.lit(5.0).alias("freq")))
+    r = frame.select(C.spectral_map(F.col("c"), F.lit(1.5)).alias("m"), C.anti_hebbian_update(F.col("c"), F.lit(1.5), F.lit(3), F.lit(4), F.lit(10), F.lit(5.0), F.lit(0.7), F.lit(60.0)).alias("a"), C.flush_and_clean(F.col("c"), F.col("o"), known, F.lit(1.5), F.lit(1e9)).alias("f"), C.orthogonal_project(F.col("c"), F.array("c")).alias("p"), C.perturb(F.col("v"), F.col("k"), 0.0).alias("n"), C.gabor_read(F.col("c"), F.lit(1.5), F.lit(3), F.lit(4), F.lit(10), F.lit(5.0)).alias("g")).first()
+    assert len(r.m.phase) == 2048 * 16 and r.n == [1, 2, 3] and r.f == c and r.p == c
+    assert np.abs(np.frombuffer(r.a, np.int8)).max() <= 1 and abs(r.g.phase - 0.7) < 0.15

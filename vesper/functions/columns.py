@@ -128,6 +128,25 @@ def _write_all(container: np.ndarray, writes) -> np.ndarray:
     return container
 
 
+#: Phase and amplitude of all 2048 places at the sixteen frequencies, place by place.
+spectral_map = by_row(lambda c, sigma: dict(zip(("phase", "amplitude"), (a.ravel().tolist() for a in K.spectrum(i8(c), sigma)), strict=True)), "struct<phase:array<float>,amplitude:array<float>>")
+#: Subtracts a concept's wavelet, as read at full strength `rate`.
+anti_hebbian_update = by_row(lambda o, sigma, x, y, z, freq, phase, rate: K.gabor_write(i8(o), sigma, x, y, z, freq, phase, -rate).tobytes(), "binary")
+#: Commits an overlay saturating, then cleans the container if it needs it.
+flush_and_clean = by_row(lambda c, o, known, sigma, noise: K.clean_if_needed(K.add_i8(i8(c), i8(o)), _tuples(known, "x", "y", "z", "freq"), sigma, noise, 2.0)[0].tobytes(), "binary")
+orthogonal_project = by_row(lambda c, templates: K.orthogonal_project(i8(c), np.stack([i8(t) for t in templates]) if len(templates) else np.zeros((0, K.SIZE), np.int8)).tobytes(), "binary")
+
+
+def perturb(vector: Column, key: Column, noise: float, seed: int = 0) -> Column:
+    """Integer vectors with Gaussian noise of that size added, rounded and clamped to bytes; the stream depends on seed and key."""
+
+    def add(v, k) -> list[int]:
+        x = np.asarray(v, np.float64)
+        return np.clip(K.rounded(x + noise * K.SplitMix(K.fnv1a(f"{seed}:{k}")).gaussian(len(x))), -128, 127).astype(np.int32).tolist()
+
+    return by_row(add, "array<int>")(vector, key)
+
+
 # points in five dimensions
 
 
