@@ -274,7 +274,7 @@ def test_whole_runs(spark, tmp_path):
     path = tmp_path / "graph.json"
     path.write_text(json.dumps(GRAPH))
     rows = runs.base_summary(spark, str(path), 128, (("signed", 5), ("signed", 7))).collect()
-    assert [r.base for r in rows] == ["signed(5)", "signed(7)"] and all(r.edges == 3 and r.ghosts <= 11 for r in rows)
+    assert [r.base for r in rows] == ["signed(5)", "signed(7)"] and all(r.edges == 3 and r.ghosts <= 13 for r in rows)
     entities, edges = graphs.read(spark, str(path))
     vecs, container, rest, _ = runs.encoded(entities, edges, 128, ("signed", 7))
     found = runs.dual_scenarios(entities, edges, vecs, ("signed", 7), {"signed_strength": container, "organic_residual": rest.tolist()}, "One")
