@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vesper.llm import decontaminate, langid, mixing, pii, simhash
 from vesper.llm.session import scratch
@@ -28,13 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id. Rows without an id stay; of rows that repeat an id one stays."""
     groups = simhash.near_duplicates(docs, shingle=4, limit=4, seed=42)
-    chosen = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(chosen, "doc_id").select(*COLUMNS)
-    # rows that repeat an id: the first by content
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rest = named.join(repeated, "doc_id", "left_anti").select(*COLUMNS)
-    first = named.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*").select(*COLUMNS)
-    return rest.unionByName(first).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    chosen = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_stays")).where("_stays")
+    # of rows that repeat an id the first by content; the join has dealt the texts by id already
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(*COLUMNS[1:]))
+    kept = docs.join(chosen, "doc_id").withColumn("_n", order).where("_n = 1").select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
