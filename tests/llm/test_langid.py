@@ -74,3 +74,28 @@ def test_odd_rows(spark, odd, none, documents):
     gibberish = spark.createDataFrame([(1, "qxzjk vwqxz " * 40)], "doc_id long, text string")
     assert L.identify(gibberish, models).first().lang_rejected
     assert L.identify(documents, models).where("lang_rejected").count() <= 1
+
+
+def test_scripts_are_told_apart(spark):
+    import random
+
+    rng = random.Random(1)
+    # two languages a script, of words alike in length; the last script isn't learnt
+    firsts = {"latin": 0x61, "cyrillic": 0x430, "greek": 0x3B1, "han": 0x4E00, "hangul": 0xAC00, "thai": 0xE01, "devanagari": 0x915, "arabic": 0x621}
+    rows, strange = [], []
+    for script, first in firsts.items():
+        for half in (0, 1):
+            step = 24 if script in ("han", "hangul") else 10
+            letters = [chr(first + half * step + i) for i in range(step)]
+            for _ in range(60):
+                text = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(60))
+                if script == "arabic":
+                    strange.append((len(strange), text))
+                else:
+                    rows.append((len(rows), text, f"{script}{half}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang = {i: x for i, _, x in rows}
+    out = [r for r in L.report(docs).collect() if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in out]) == 1
+    got = L.identify(spark.createDataFrame(strange, "doc_id long, text string"), L.train(docs))
+    assert got.where("not lang_rejected").count() == 0

@@ -26,14 +26,15 @@ from .session import bound_batches
 SAMPLE_ROWS = 3000
 #: Languages that are learnt at most, the most frequent ones.
 LANGUAGES = 200
-#: Characters that are told apart; rarer ones share a symbol.
-ALPHABET = 60
-#: Characters of an n-gram, at most four: codes are packed in 24 bits.
+#: Letters that are told apart: as many as a symbol's 16 bits hold.
+ALPHABET = (1 << 16) - 2
+#: Characters of an n-gram, at most four: codes are packed in 64 bits.
 ORDER = 4
 #: Bytes of text that are scored at once.
 BLOCK_BYTES = 1 << 20
-_BITS = np.uint64(6)
-#: Symbol of what lies around words, and of rare characters.
+#: Probabilities that a worker keeps at most.
+KEPT = 1 << 25
+#: Symbol of what lies around words, and of letters that the sample doesn't have.
 SPACE, RARE = 0, 1
 
 
@@ -80,11 +81,19 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return put[keep], np.append(kept[starts], kept[-1])
 
 
-def _codes(symbols: np.ndarray, order: int) -> np.ndarray:
+def symbol_bits(alphabet: np.ndarray) -> int:
+    return 6 if len(alphabet) <= 62 else 16
+
+
+def _mask(symbols: int, bits: int) -> np.uint64:
+    return np.uint64((1 << (bits * symbols)) - 1)
+
+
+def _codes(symbols: np.ndarray, order: int, bits: int = 6) -> np.ndarray:
     """Each position's last `order` symbols, packed; positions before the start count as space."""
     out = np.zeros(len(symbols), np.uint64)
     for back in range(order - 1, -1, -1):
-        out <<= _BITS
+        out <<= np.uint64(bits)
         if back:
             out[back:] |= symbols[:-back].astype(np.uint64) if back < len(symbols) else 0
         else:
@@ -111,7 +120,7 @@ class Models:
     slope: float = 1.0
 
     def symbols(self) -> np.ndarray:
-        table = np.full(0x110000, RARE, np.uint8)
+        table = np.full(0x110000, RARE, np.uint16)
         table[0] = SPACE
         table[self.alphabet] = np.arange(2, 2 + len(self.alphabet))
         return table
@@ -119,11 +128,12 @@ class Models:
     def probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Of the last symbol after the others, for each n-gram and language."""
         size = np.uint64(2 + len(self.alphabet))
+        bits = symbol_bits(self.alphabet)
         p = np.full((len(codes), len(self.languages)), 1.0 / float(size))
         for m in range(1, self.order + 1):
-            gram = codes & np.uint64((1 << (6 * m)) - 1)
+            gram = codes & _mask(m, bits)
             at, there = _find(self.grams[m], _hashed(gram, m))
-            back, known = _find(self.grams[m - 1], _hashed(gram >> _BITS, m - 1)) if m > 1 else (np.zeros(len(codes), np.int64), np.ones(len(codes), bool))
+            back, known = _find(self.grams[m - 1], _hashed(gram >> np.uint64(bits), m - 1)) if m > 1 else (np.zeros(len(codes), np.int64), np.ones(len(codes), bool))
             weight = np.where(known[:, None], self.back[m - 1][back], 1.0)
             p = np.where(there[:, None], self.p[m][at], 0.0) + weight * p
         return p
@@ -141,9 +151,10 @@ def kneser_ney(counts: dict[int, np.ndarray], codes: np.ndarray, alphabet: np.nd
     before; one discount an order, n1 / (n1 + 2 n2).
     """
     out = Models(languages, alphabet, order)
+    bits = symbol_bits(alphabet)
     number = np.stack([counts[i] for i in range(len(languages))], axis=1).astype(np.float64)
     for m in range(order, 0, -1):
-        context = codes >> _BITS
+        context = codes >> np.uint64(bits)
         firsts, of = np.unique(context, return_inverse=True)
         total = np.zeros((len(firsts), len(languages)))
         kinds = np.zeros_like(total)
@@ -157,11 +168,11 @@ def kneser_ney(counts: dict[int, np.ndarray], codes: np.ndarray, alphabet: np.nd
         weight = np.where(total > 0, discount * kinds / np.maximum(total, 1e-300), 1.0)
         if m > 1:
             # held beside the lower order's n-grams, of which contexts are some
-            lower = np.unique(np.concatenate([codes & np.uint64((1 << (6 * (m - 1))) - 1), firsts]))
+            lower = np.unique(np.concatenate([codes & _mask(m - 1, bits), firsts]))
             out.back[m - 1] = np.ones((len(lower), len(languages)))
             out.back[m - 1][np.searchsorted(lower, firsts)] = weight
             next_number = np.zeros((len(lower), len(languages)))
-            np.add.at(next_number, np.searchsorted(lower, codes & np.uint64((1 << (6 * (m - 1))) - 1)), number > 0)
+            np.add.at(next_number, np.searchsorted(lower, codes & _mask(m - 1, bits)), number > 0)
             out.back[m - 1] = out.back[m - 1][np.argsort(_hashed(lower, m - 1))]
             codes, number = lower, next_number
         else:
@@ -175,26 +186,40 @@ class Scorer:
     def __init__(self, models: Models):
         self.models = models
         self.symbols = models.symbols()
-        self.slot = np.full(1 << (6 * models.order), -1, np.int32)
+        self.width = symbol_bits(models.alphabet)
+        self.known = np.zeros(0, np.uint64)
         self.bits = np.zeros((0, len(models.languages)), np.float32)
 
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Each code's row of bits."""
+        asked, of = np.unique(codes, return_inverse=True)
+        if len(self.known):
+            new = asked[~_find(self.known, asked)[1]]
+        else:
+            new = asked
+        if len(new):
+            if (len(self.known) + len(new)) * self.bits.shape[1] > KEPT:
+                new, self.known, self.bits = asked, self.known[:0], self.bits[:0]
+            every = np.concatenate([self.known, new])
+            order = np.argsort(every)
+            bits = -np.log2(np.maximum(self.models.probabilities(new), 1e-30)).astype(np.float32)
+            self.known, self.bits = every[order], np.concatenate([self.bits, bits])[order]
+        return np.searchsorted(self.known, asked)[of]
+
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character by text and language, and the number of characters."""
         letters, of = characters(data, offsets)
-        codes = _codes(self.symbols[letters], self.models.order).astype(np.int64)
+        codes = _codes(self.symbols[letters], self.models.order, self.width)
         starts = of[:-1]
         # contexts don't reach over a text's start
         for k in range(1, self.models.order - 1):
             at = starts + k
             at = at[at < np.append(starts[1:], of[-1])]
-            codes[at] &= (1 << (6 * (k + 1))) - 1
+            codes[at] &= _mask(k + 1, self.width)
         codes[starts] = 0
-        if (self.slot[codes] < 0).any():
-            new = np.unique(codes[self.slot[codes] < 0])
-            self.slot[new] = np.arange(len(self.bits), len(self.bits) + len(new))
-            self.bits = np.concatenate([self.bits, -np.log2(np.maximum(self.models.probabilities(new.astype(np.uint64)), 1e-30)).astype(np.float32)])
         n = np.diff(of) - 1
-        each = self.bits[self.slot[codes]]
+        rows = self.rows(codes)  # may replace self.bits
+        each = self.bits[rows]
         each[starts] = 0  # the space before a text isn't predicted
         total = np.add.reduceat(each, starts, axis=0, dtype=np.float64) if len(starts) else np.zeros((0, each.shape[1]))
         return total / np.maximum(n, 1)[:, None], n
@@ -232,18 +257,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     blank = Models(languages, alphabet, order)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = blank.symbols()
+        symbols, bits = blank.symbols(), symbol_bits(blank.alphabet)
         count: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             names = batch.column(0).to_pylist()
             fold_of = np.array(batch.column(1).to_pylist())
             for first, end, data, offsets in K.blocks(batch.column(2)):
                 letters, of = characters(data, offsets)
-                codes = _codes(symbols[letters], order).astype(np.int64)
+                codes = _codes(symbols[letters], order, bits)
                 starts, length = of[:-1], np.diff(of)
                 for k in range(1, order - 1):
                     at = (starts + k)[length > k]
-                    codes[at] &= (1 << (6 * (k + 1))) - 1
+                    codes[at] &= _mask(k + 1, bits)
                 lang = np.repeat([languages.index(x) for x in names[first:end]], length)
                 use = np.repeat(fold_of[first:end] > 0, length)
                 use[starts] = False
@@ -254,11 +279,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                         n = np.bincount(at, np.concatenate([count[i][1], n])).astype(np.int64)
                     count[i] = (found, n)
         for i, (found, n) in count.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(found), pa.array(n)], names=["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
     counted = sample.mapInArrow(grams, "lang int, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     lang, code, n = (counted.column(i).to_numpy() for i in range(3))
-    codes, at = np.unique(code.astype(np.uint64), return_inverse=True)
+    codes, at = np.unique(code.view(np.uint64), return_inverse=True)
     counts = {}
     for i in range(len(languages)):
         counts[i] = np.zeros(len(codes))
