@@ -53,3 +53,18 @@ def test_entry_without_the_optional_parts(monkeypatch):
 
     monkeypatch.setattr(sys, "meta_path", [Missing(), *sys.meta_path])
     assert set(__spark_entry__.queries()) == set(catalog.QUERIES)
+
+
+def test_searches_take_the_whole_query_set(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    asked = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    for name in ("flat_scan_hamming_set", "indexed_search_set", "indexed_search_counters"):
+        assert {r.query_id for r in catalog.QUERIES[name](spark, SF).select("query_id").collect()} == asked
+    # the counters of one query are those of the search by one vector
+    rows, clusters, members = catalog.indexed(spark, SF)
+    one = catalog.index.search(rows, clusters, members, catalog.first_row(rows), (10, 16, 17, 17))[1].first().asDict()
+    assert catalog.indexed_search_counters(spark, SF).where("query_id = 0").drop("query_id").first().asDict() == one
+    # no row 0: no hits
+    spark.read.parquet(f"{SF}/embeddings.parquet").where(F.col("vec_id") > 0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.indexed_search(spark, str(tmp_path)).collect() == []

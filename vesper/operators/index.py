@@ -116,3 +116,31 @@ def search_many(records: DataFrame, clusters: DataFrame, members: DataFrame, que
     near = against(clusters.where(F.col("channel") == channel), asked).where(F.greatest(V.hamming(F.col("centre"), F.col("q_vector")) - F.col("radius"), F.lit(0)) <= most).select("query_id", "q_vector", "cluster_id")
     rows = members.where(F.col("channel") == channel).select("cluster_id", "row_id").join(records.select("row_id", channel), "row_id")
     return near.join(rows, "cluster_id").select("query_id", "row_id", V.hamming(F.col(channel), F.col("q_vector")).alias("dist")).where(F.col("dist") <= most)
+
+
+def search_set(records: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, thresholds: tuple[int, int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """Hits (query_id, row_id and four distances) of a query set, and a row of counters for each query.
+
+    As `search`, channel after channel: candidates of the index by query meet the
+    survivors in a semi join, then their distances are computed.
+    """
+    asked = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in CHANNELS])
+
+    def near(channel: str, most: int) -> DataFrame:
+        pairs = against(clusters.where(F.col("channel") == channel), asked.select("query_id", F.col(f"q_{channel}").alias("q_vector")))
+        return pairs.where(F.greatest(V.hamming(F.col("centre"), F.col("q_vector")) - F.col("radius"), F.lit(0)) <= most).select("query_id", "cluster_id")
+
+    stats = []
+    alive = None
+    for i, channel in enumerate(CHANNELS):
+        found = near(channel, thresholds[i]).join(members.where(F.col("channel") == channel), "cluster_id").select("query_id", "row_id")
+        fetched = found.join(records, "row_id").join(asked, "query_id") if alive is None else alive.join(found, ["query_id", "row_id"], "left_semi")
+        stats.append(fetched.groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit(channel).alias("channel"), "n"))
+        alive = fetched.withColumn(f"{channel}_dist", V.hamming(F.col(channel), F.col(f"q_{channel}"))).where(F.col(f"{channel}_dist") <= thresholds[i])
+    hits = alive.select("query_id", "row_id", *[f"{c}_dist" for c in CHANNELS])
+    total = clusters.where("channel = 'meta'").agg(F.count("*").alias("fragments_total"))
+    kept = near("meta", thresholds[0]).groupBy("query_id").agg(F.count("*").alias("kept"))
+    read = reduce(DataFrame.unionByName, stats).groupBy("query_id").pivot("channel", list(CHANNELS)).agg(F.first("n"))
+    rows = asked.select("query_id").join(kept, "query_id", "left").join(read, "query_id", "left").fillna(0).crossJoin(total)  # total is one row
+    counters = rows.select("query_id", "fragments_total", (F.col("fragments_total") - F.col("kept")).alias("fragments_pruned"), F.col("meta").alias("meta_scanned"), F.col("cam").alias("cam_fetched"), F.col("btree").alias("btree_fetched"), F.col("embed").alias("embed_fetched"))
+    return hits, counters

@@ -103,6 +103,13 @@ def flat_scan_hamming(spark, sf):
     return search.scan(v.join(F.broadcast(asked)), "w", F.col("q"), 30).select("vec_id", "dist")
 
 
+@query(f"WITH {VECTORS} SELECT q.vec_id AS query_id, v.vec_id AS row_id, {ham('v.w', 'q.w')} AS dist FROM v, v q WHERE q.vec_id % 50 = 0 AND {ham('v.w', 'q.w')} <= 30")
+def flat_scan_hamming_set(spark, sf):
+    v = vectors(spark, sf).select(F.col("vec_id").alias("row_id"), "w")
+    asked = v.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("w").alias("q"))
+    return search.scan(search.against(v, asked), "w", F.col("q"), 30).select("query_id", "row_id", "dist")
+
+
 def channels(spark, sf) -> DataFrame:
     return vectors(spark, sf).select(F.col("vec_id").alias("row_id"), F.col("w").alias("meta"), V.sort_phase("ph")["sorted"].alias("cam"), F.col("up").alias("btree"), F.col("wr").alias("embed"))
 
@@ -197,14 +204,25 @@ def indexed_search(spark, sf):
 
 
 def first_row(rows: DataFrame) -> dict[str, Column]:
+    """Vectors of row 0; null where there is no such row, so that nothing is found."""
     q = rows.where("row_id = 0").first()
-    return {c: F.array(*[F.lit(x).cast("long") for x in q[c]]) for c in records.CHANNELS}
+    return {c: F.array(*[F.lit(x).cast("long") for x in q[c]]) if q else F.lit(None).cast("array<bigint>") for c in records.CHANNELS}
+
+
+def asked_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+
+
+@query(f"WITH {INDEX} SELECT * FROM (SELECT q.row_id AS query_id, r.row_id, {CASCADE} FROM r, r q WHERE q.row_id % 50 = 0) WHERE meta_dist <= 16 AND cam_dist <= 16 AND btree_dist <= 17 AND embed_dist <= 17")
+def indexed_search_set(spark, sf):
+    rows, clusters, members = indexed(spark, sf)
+    return index.search_set(rows, clusters, members, asked_rows(rows), (16, 16, 17, 17))[0]
 
 
 @query()
 def indexed_search_counters(spark, sf):
     rows, clusters, members = indexed(spark, sf)
-    return index.search(rows, clusters, members, first_row(rows), (10, 16, 17, 17))[1]
+    return index.search_set(rows, clusters, members, asked_rows(rows), (10, 16, 17, 17))[1]
 
 
 @query(f"WITH {INDEX} SELECT cluster_id, radius, 2 * n AS n FROM cam_c")
