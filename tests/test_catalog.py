@@ -68,3 +68,33 @@ def test_searches_take_the_whole_query_set(spark, tmp_path):
     # no row 0: no hits
     spark.read.parquet(f"{SF}/embeddings.parquet").where(F.col("vec_id") > 0).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert catalog.indexed_search(spark, str(tmp_path)).collect() == []
+
+
+def test_residual_is_of_all_edges(spark):
+    import numpy as np
+
+    from vesper.operators import graph
+
+    entities, edges, vecs, container = catalog.stored_edges(spark, SF)
+    n = edges.count()
+    assert {r.n_coefficients for r in catalog.organic_residual(spark, SF).collect()} == {n}
+    # more edges than may be solved at once
+    probes = graph.bound(graph.resolved(entities, edges), vecs, catalog.BASE).orderBy("seq").collect()
+    t = np.array([r.probe for r in probes], float)
+    best = np.linalg.lstsq(t.T, np.array(container), rcond=None)[0]
+    for most in (2048, 5):
+        rest, found = graph.residual(entities, edges, vecs, catalog.BASE, container, most)
+        assert len(found) == n
+        assert np.allclose(rest, np.array(container) - best @ t, atol=1e-6) and np.allclose(found, best, atol=1e-6)
+    # more edges than places
+    short = vecs.selectExpr("index", "slice(vec, 1, 8) vec")
+    probes = graph.bound(graph.resolved(entities, edges), short, catalog.BASE).orderBy("seq").collect()
+    t = np.array([r.probe for r in probes], float)
+    best = np.linalg.lstsq(t.T, np.array(container[:8]), rcond=None)[0]
+    rest, found = graph.residual(entities, edges, short, catalog.BASE, container[:8])
+    assert n > 8 and np.allclose(rest, np.array(container[:8]) - best @ t, atol=1e-6) and np.allclose(found, best, atol=1e-6)
+
+
+def test_sweeps_run_the_full_grids(spark):
+    assert catalog.recovery_sweep(spark, SF).count() == 3024
+    assert catalog.recognition_sweep(spark, SF).count() == 72

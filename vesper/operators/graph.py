@@ -97,16 +97,41 @@ def encode(entities: DataFrame, edges: DataFrame, vecs: DataFrame, base: tuple[s
 
 
 def residual(entities: DataFrame, edges: DataFrame, vecs: DataFrame, base: tuple[str, int], container: list[int], most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """What least squares on the bound edges leave of a container, and the coefficients by seq; of `most` edges at most."""
-    rows = bound(resolved(entities, edges), vecs, base).select("seq", "probe").orderBy("seq").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"coefficients are taken from {most} edges at most")
+    """What least squares on the bound edges leave of a container, and the coefficients by seq.
+
+    Of more edges than `most` or than places, the normal equations are summed over
+    the places, and the coefficients are those of least norm.
+    """
+    rows = bound(resolved(entities, edges), vecs, base).select("seq", "probe")
     stored = np.asarray(container, np.float64)
-    if not rows:
+    few = min(most, len(stored))
+    first = rows.orderBy("seq").limit(few + 1).collect()
+    if not first:
         return stored, np.zeros(0)
-    t = np.array([r.probe for r in rows], np.float64)
-    found = K.cholesky_solve(t @ t.T, t @ stored)
-    return stored - found @ t, found
+    if len(first) <= few:
+        t = np.array([r.probe for r in first], np.float64)
+        found = K.cholesky_solve(t @ t.T, t @ stored)
+        return stored - found @ t, found
+
+    def products(batches):
+        total = np.zeros((len(stored), len(stored)))
+        for batch in batches:
+            if len(batch):
+                t = np.array(batch.probe.tolist(), np.float64)
+                total += t.T @ t
+        yield pd.DataFrame({"g": [total.tobytes()]})
+
+    gram = np.zeros((len(stored), len(stored)))
+    for r in rows.select("probe").mapInPandas(products, "g binary").toLocalIterator():
+        gram += np.frombuffer(r.g).reshape(gram.shape)
+    weights = np.linalg.pinv(gram, hermitian=True) @ stored
+
+    def readings(batches):
+        for batch in batches:
+            yield pd.DataFrame({"seq": batch.seq, "c": [float(np.asarray(p, np.float64) @ weights) for p in batch.probe]})
+
+    found = rows.selectExpr("cast(seq as bigint) seq", "probe").mapInPandas(readings, "seq bigint, c double").orderBy("seq").collect()
+    return stored - gram @ weights, np.array([r.c for r in found])
 
 
 def nonedges(entities: DataFrame, edges: DataFrame, left: Column | None = None, right: Column | None = None) -> DataFrame:

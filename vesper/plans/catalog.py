@@ -564,7 +564,7 @@ def edge_strength_by_type(spark, sf):
 @query()
 def organic_residual(spark, sf):
     entities, edges, vecs, container = stored_edges(spark, sf)
-    rest, found = graph.residual(entities, edges.where("edge_type = 'Place'"), vecs, BASE, container)
+    rest, found = graph.residual(entities, edges, vecs, BASE, container)
     return spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(rest)], "pos int, residual double").withColumn("n_coefficients", F.lit(len(found)))
 
 
@@ -735,7 +735,7 @@ def lsh_fingerprints(spark, sf):
 
 @query()
 def recognition_sweep(spark, sf):
-    return recognise.sweep(spark, dims=(512,), class_counts=(4, 8), noises=(0.3, 0.5), planes=1024)
+    return recognise.sweep(spark)
 
 
 # ---- recovery sweeps
@@ -743,7 +743,7 @@ def recognition_sweep(spark, sf):
 
 @query()
 def recovery_sweep(spark, sf):
-    return sweep.report(sweep.run(sweep.grid(spark, dims=(1024, 2048), bundles=(1, 3, 8, 21), repetitions=2)))
+    return sweep.report(sweep.run(sweep.grid(spark, repetitions=2)))
 
 
 @query()
