@@ -121,26 +121,29 @@ def search_many(records: DataFrame, clusters: DataFrame, members: DataFrame, que
 def search_set(records: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, thresholds: tuple[int, int, int, int]) -> tuple[DataFrame, DataFrame]:
     """Hits (query_id, row_id and four distances) of a query set, and a row of counters for each query.
 
-    As `search`, channel after channel: candidates of the index by query meet the
-    survivors in a semi join, then their distances are computed.
+    As `search`, channel after channel. Each row carries its clusters and each
+    query the clusters that it reaches, so that only the first channel's
+    candidates are paired and nothing is paired again.
     """
     asked = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in CHANNELS])
-
-    def near(channel: str, most: int) -> DataFrame:
+    reach = asked
+    for channel, most in zip(CHANNELS, thresholds, strict=True):
         pairs = against(clusters.where(F.col("channel") == channel), asked.select("query_id", F.col(f"q_{channel}").alias("q_vector")))
-        return pairs.where(F.greatest(V.hamming(F.col("centre"), F.col("q_vector")) - F.col("radius"), F.lit(0)) <= most).select("query_id", "cluster_id")
-
-    stats = []
-    alive = None
-    for i, channel in enumerate(CHANNELS):
-        found = near(channel, thresholds[i]).join(members.where(F.col("channel") == channel), "cluster_id").select("query_id", "row_id")
-        fetched = found.join(records, "row_id").join(asked, "query_id") if alive is None else alive.join(found, ["query_id", "row_id"], "left_semi")
-        stats.append(fetched.groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit(channel).alias("channel"), "n"))
-        alive = fetched.withColumn(f"{channel}_dist", V.hamming(F.col(channel), F.col(f"q_{channel}"))).where(F.col(f"{channel}_dist") <= thresholds[i])
-    hits = alive.select("query_id", "row_id", *[f"{c}_dist" for c in CHANNELS])
+        near = pairs.where(F.greatest(V.hamming(F.col("centre"), F.col("q_vector")) - F.col("radius"), F.lit(0)) <= most)
+        reach = reach.join(near.groupBy("query_id").agg(F.collect_list("cluster_id").alias(f"near_{channel}")), "query_id", "left")
+    of_row = members.groupBy("row_id").pivot("channel", list(CHANNELS)).agg(F.first("cluster_id"))
+    rows = records.join(of_row.select("row_id", *[F.col(c).alias(f"in_{c}") for c in CHANNELS]), "row_id")
+    pairs = reach.withColumn("in_meta", F.explode("near_meta")).join(rows, "in_meta")
+    alive = F.lit(True)
+    read = []
+    for channel, most in zip(CHANNELS, thresholds, strict=True):
+        fetched = alive & F.coalesce(F.array_contains(f"near_{channel}", F.col(f"in_{channel}")), F.lit(False)) if channel != "meta" else alive
+        read.append(F.count_if(fetched).alias(f"n_{channel}"))
+        alive = fetched & (F.col(f"{channel}_dist") <= most)
+    pairs = pairs.select("query_id", "row_id", *[f"{x}_{c}" for c in CHANNELS for x in ("near", "in")], *[V.hamming(F.col(c), F.col(f"q_{c}")).alias(f"{c}_dist") for c in CHANNELS])
+    hits = pairs.where(alive).select("query_id", "row_id", *[f"{c}_dist" for c in CHANNELS])
     total = clusters.where("channel = 'meta'").agg(F.count("*").alias("fragments_total"))
-    kept = near("meta", thresholds[0]).groupBy("query_id").agg(F.count("*").alias("kept"))
-    read = reduce(DataFrame.unionByName, stats).groupBy("query_id").pivot("channel", list(CHANNELS)).agg(F.first("n"))
-    rows = asked.select("query_id").join(kept, "query_id", "left").join(read, "query_id", "left").fillna(0).crossJoin(total)  # total is one row
-    counters = rows.select("query_id", "fragments_total", (F.col("fragments_total") - F.col("kept")).alias("fragments_pruned"), F.col("meta").alias("meta_scanned"), F.col("cam").alias("cam_fetched"), F.col("btree").alias("btree_fetched"), F.col("embed").alias("embed_fetched"))
+    kept = reach.select("query_id", F.coalesce(F.size("near_meta"), F.lit(0)).alias("kept")).withColumn("kept", F.greatest("kept", F.lit(0)).cast("long"))
+    found = kept.join(pairs.groupBy("query_id").agg(*read), "query_id", "left").fillna(0).crossJoin(total)  # total is one row
+    counters = found.select("query_id", "fragments_total", (F.col("fragments_total") - F.col("kept")).alias("fragments_pruned"), F.col("n_meta").alias("meta_scanned"), F.col("n_cam").alias("cam_fetched"), F.col("n_btree").alias("btree_fetched"), F.col("n_embed").alias("embed_fetched"))
     return hits, counters
