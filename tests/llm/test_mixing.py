@@ -63,6 +63,43 @@ def test_ranges_of_equal_sizes(spark, monkeypatch):
     assert sorted(mixing.report(frame).collect()) == whole
 
 
+def taken_by_source(rows, source):
+    taken, target, largest = defaultdict(int), {}, defaultdict(int)
+    for r in rows:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        largest[source[r.doc_id]] = max(largest[source[r.doc_id]], r.size)
+    return taken, target, largest
+
+
+def test_wide_string_and_repeated_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    wide = [(low, "a b c", "x"), (high, "a b", "x"), (0, "c", "y")] + [(high - 7 * i, "w " * (i % 9), "y") for i in range(300)]
+    frame = spark.createDataFrame(wide, "doc_id long, text string, source string")
+    rows = mixing.report(frame).collect()
+    assert len(rows) == len(wide)
+    # 500 repeated rows and ten others; each row has a draw of its own
+    repeated = [(1, "one two three four five six seven eight nine ten", "a")] * 500 + [(i, "w " * i, "a") for i in range(2, 12)] + [(100 + i, "w " * 40, "b") for i in range(40)]
+    source = {i: s for i, _, s in repeated}
+    frame = spark.createDataFrame(repeated, "doc_id long, text string, source string")
+    for docs in (frame, frame.withColumn("doc_id", frame.doc_id.cast("string"))):
+        rows = mixing.report(docs).collect()
+        taken, target, largest = taken_by_source(rows, {k if docs is frame else str(k): v for k, v in source.items()})
+        assert len(rows) == len(repeated) and all(abs(taken[s] - target[s]) <= 2 * largest[s] for s in target)
+        words = defaultdict(int)
+        for r in mixing.mix(docs).collect():
+            words[source[int(r.doc_id)]] += len(spaced(r.text))
+        assert words == taken
+
+
+def test_rows_that_share_an_id_and_differ(spark):
+    docs = [(1, t, "a", {"k": i}) for i, t in enumerate(["x y", "y x", "x y", "x y", None])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, extra map<string,int>")
+    mixed = mixing.mix(frame)
+    assert mixed.columns == [*frame.columns, "copy"]
+    assert sum(len(spaced(r.text)) for r in mixed.collect()) == sum(r.taken for r in mixing.report(frame).collect())
+
+
 def test_odd_rows(odd, none):
     rows = mixing.report(odd).collect()
     assert len(rows) == len(ODD)
