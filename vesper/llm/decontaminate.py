@@ -8,6 +8,7 @@ operations; the automaton decides on all others.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,8 +21,10 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .session import bound_batches
 
-#: Words of items in one automaton; more items take further automata and passes.
-AUTOMATON_WORDS = 1_000_000
+#: Words of items in one automaton: the driver builds one at a time, from dictionaries of about 650 bytes a word.
+AUTOMATON_WORDS = 100_000
+#: Words of items in one pass over the documents: automata of about 60 bytes a word are sent to the workers; more items take further passes.
+PASS_WORDS = 1_000_000
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -34,103 +37,160 @@ def item_words(text: str | None) -> list[bytes]:
     return [text_bytes[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _extended(sequences: list[list[int]]) -> tuple[list[dict[int, int]], list[int], list[int]]:
+    """Transitions, suffix links and lengths of the suffix automaton of sequences of numbers."""
+    nxt: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+
+    def clone(p: int, w: int, q: int) -> int:
+        copy = len(nxt)
+        nxt.append(dict(nxt[q]))
+        length.append(length[p] + 1)
+        link.append(link[q])
+        link[q] = copy
+        while p != -1 and nxt[p].get(w) == q:
+            nxt[p][w] = copy
+            p = link[p]
+        return copy
+
+    for ids in sequences:
+        last = 0
+        for w in ids:
+            if w in nxt[last]:
+                q = nxt[last][w]
+                last = q if length[q] == length[last] + 1 else clone(last, w, q)
+                continue
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and w not in nxt[p]:
+                nxt[p][w] = cur
+                p = link[p]
+            if p != -1:
+                q = nxt[p][w]
+                link[cur] = q if length[q] == length[p] + 1 else clone(p, w, q)
+            last = cur
+    return nxt, link, length
+
+
 class Automaton:
-    """Suffix automaton of many word sequences, with the items that each window of words occurs in."""
+    """Suffix automaton of many word sequences, with the items that each window of words occurs in; all in flat arrays."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        held = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for name, words in items if words]
-        for _, ids in held:
-            last = 0
-            for w in ids:
-                last = self._extend(last, w)
+        vocabulary: dict[bytes, int] = {}
+        held = [(name, [vocabulary.setdefault(w, len(vocabulary)) for w in words]) for name, words in items if words]
         self.shortest = min((min(len(ids), window) for _, ids in held), default=0)
-        #: items by the shortest state that has their window; short items by the state of the whole item
-        self.items: dict[int, set] = {}
-        self.short: dict[int, list[tuple[int, object]]] = {}
+        nxt, link, length = _extended([ids for _, ids in held])
+        # transitions by state and word, sorted
+        self.size = max(1, len(vocabulary))
+        keys = np.fromiter((state * self.size + w for state, out in enumerate(nxt) for w in out), np.int64)
+        targets = np.fromiter((to for out in nxt for to in out.values()), np.int32)
+        del nxt
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], targets[order]
+        self.link, self.length = np.array(link, np.int32), np.array(length, np.int32)
+        del link, length
+        # words by hash; equal hashes are told apart by the words
+        self.text = b"".join(vocabulary)
+        self.word_ends = np.cumsum([0, *map(len, vocabulary)])
+        hashed = np.array([_hash(w) for w in vocabulary], np.uint64)
+        self.order = np.argsort(hashed, kind="stable").astype(np.int32)
+        self.words = hashed[self.order]
+        pairs = [hashed[ids[:-1]] * np.uint64(3) ^ hashed[ids[1:]] for _, ids in held]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]))
+        # (state, words, item): of windows, and of items of fewer words
+        self.names: list[str | None] = sorted({name for name, _ in held}, key=lambda n: (n is None, n))
+        number = {name: i for i, name in enumerate(self.names)}
+        self.short = np.zeros(0, bool)
+        self._views()
+        found = set()
         for name, ids in held:
             state, n = 0, 0
             for w in ids:
                 state, n = self.step(state, n, w)
                 if n >= window:
-                    self.items.setdefault(self.narrow(state, window), set()).add(name)
+                    found.add((self.narrow(state, window), window, number[name]))
             if len(ids) < window:
-                self.short.setdefault(self.narrow(state, len(ids)), []).append((len(ids), name))
-        hashed = np.array([_hash(w) for w in self.vocabulary], np.uint64)
-        self.words = np.sort(hashed)
-        pairs = [hashed[ids[:-1]] * np.uint64(3) ^ hashed[ids[1:]] for _, ids in held]
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]))
+                found.add((self.narrow(state, len(ids)), len(ids), number[name]))
+        at = np.array(sorted(found), np.int32).reshape(-1, 3)
+        self.at, self.at_words, self.at_item = (np.ascontiguousarray(at[:, i]) for i in range(3))
+        self.short = np.zeros(len(self.link) if (self.at_words < window).any() else 0, bool)
+        self.short[self.at[self.at_words < window]] = True
 
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:
-            q = nxt[last][w]
-            return q if length[q] == length[last] + 1 else self._clone(last, w, q)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
-        return cur
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _clone(self, p: int, w: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        copy = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = copy
-        while p != -1 and nxt[p].get(w) == q:
-            nxt[p][w] = copy
-            p = link[p]
-        return copy
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._views()
+
+    def _views(self) -> None:
+        # single values come faster from these than from arrays
+        self._keys, self._targets, self._link, self._length = (memoryview(x) for x in (self.keys, self.targets, self.link, self.length))
+
+    def _to(self, state: int, w: int) -> int:
+        key = state * self.size + w
+        i = bisect_left(self._keys, key)
+        return self._targets[i] if i < len(self._keys) and self._keys[i] == key else -1
 
     def step(self, state: int, n: int, w: int) -> tuple[int, int]:
         """State and length of the longest match after one more word."""
-        nxt = self.next
-        while state and w not in nxt[state]:
-            state = self.link[state]
-            n = self.length[state]
-        to = nxt[state].get(w)
-        return (to, n + 1) if to is not None else (0, 0)
+        while (to := self._to(state, w)) < 0 and state:
+            state = self._link[state]
+            n = self._length[state]
+        return (to, n + 1) if to >= 0 else (0, 0)
 
     def narrow(self, state: int, n: int) -> int:
         """The state of the last n words of a match."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
+        while self._length[self._link[state]] >= n:
+            state = self._link[state]
         return state
 
-    def read(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """(start, end) of every window that occurs, in words, and the items that they are from."""
+    def numbers(self, words: list[bytes], hashes: np.ndarray) -> list[int]:
+        """The numbers of words, -1 for those that no item has."""
+        out = []
+        for word, i in zip(words, np.searchsorted(self.words, hashes).tolist(), strict=True):
+            h, found = _hash(word) if i + 1 < len(self.words) and self.words[i] == self.words[i + 1] else None, -1
+            while i < len(self.words):
+                w = int(self.order[i])
+                if self.text[self.word_ends[w] : self.word_ends[w + 1]] == word:
+                    found = w
+                    break
+                if h is None or self.words[i] != h:
+                    break
+                i += 1
+            out.append(found)
+        return out
+
+    def items(self, state: int) -> Iterator[tuple[int, int]]:
+        """(words, item) of the windows and short items of a state."""
+        for i in range(int(np.searchsorted(self.at, state)), int(np.searchsorted(self.at, state, "right"))):
+            yield int(self.at_words[i]), int(self.at_item[i])
+
+    def read(self, words: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        """(start, end) of every window that occurs, in words, and the numbers of the items that they are from."""
         spans, found = [], set()
         state = n = 0
-        vocabulary, window, short = self.vocabulary, self.window, self.short
-        for i, word in enumerate(words, 1):
-            w = vocabulary.get(word)
-            if w is None:
+        for i, w in enumerate(self.numbers(words, hashes), 1):
+            if w < 0:
                 state = n = 0
                 continue
             state, n = self.step(state, n, w)
-            if n >= window:
-                spans.append((i - window, i))
-                found |= self.items.get(self.narrow(state, window), set())
-            if short:
+            if n >= self.window:
+                spans.append((i - self.window, i))
+                found.update(item for m, item in self.items(self.narrow(state, self.window)) if m == self.window)
+            if len(self.short):
                 at = state
                 while at > 0:
-                    for m, name in short.get(at, ()):
-                        if m <= n:
-                            spans.append((i - m, i))
-                            found.add(name)
-                    at = self.link[at]
+                    if self.short[at]:
+                        for m, item in self.items(at):
+                            if m <= n and m < self.window:
+                                spans.append((i - m, i))
+                                found.add(item)
+                    at = self._link[at]
         return spans, found
 
 
@@ -152,43 +212,51 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(texts: pa.Array, machine: Automaton) -> Iterator[tuple[int, int, list[tuple[int, int]], set]]:
+def _runs(machine: Automaton, hashes: np.ndarray, of: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """By document: runs of words of which each two neighbours are neighbours in an item."""
+    runs: dict[int, list[tuple[int, int]]] = {}
+    if not len(hashes) or not machine.shortest:
+        return runs
+    if machine.shortest == 1:
+        inside = _member(hashes, machine.words)
+        lo = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        hi = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
+    else:
+        joined = _member(hashes[:-1] * np.uint64(3) ^ hashes[1:], machine.pairs)
+        lo = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
+        hi = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]])) + 2
+    # a run is of at least so many words; it may reach over documents, which are then read apart
+    keep = hi - lo >= machine.shortest
+    for a, b in zip(lo[keep].tolist(), hi[keep].tolist(), strict=True):
+        d = int(np.searchsorted(of, a, "right")) - 1
+        while d < len(of) - 1 and of[d] < b:
+            x, y = max(a, int(of[d])), min(b, int(of[d + 1]))
+            if y - x >= machine.shortest:
+                runs.setdefault(d, []).append((x, y))
+            d += 1
+    return runs
+
+
+def scan(texts: pa.Array, machines: list[Automaton]) -> Iterator[tuple[int, int, list[tuple[int, int]], set]]:
     """(row, words, merged hit spans in words, items) for each text."""
     for first, end, data, offsets in K.blocks(texts):
         lower = K.LOWER[data]
         starts, ends, of = K.words(lower, offsets, K.ALNUM)
-        n = len(starts)
         count = np.diff(of).tolist()
-        runs: dict[int, list[tuple[int, int]]] = {}
-        if n and machine.shortest:
-            hashes = K.word_hashes(lower, starts, ends)
-            if machine.shortest == 1:
-                inside = _member(hashes, machine.words)
-                lo = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-                hi = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-            else:
-                joined = _member(hashes[:-1] * np.uint64(3) ^ hashes[1:], machine.pairs)
-                lo = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
-                hi = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]])) + 2
-            # a run is of at least so many words; it may reach over documents, which are then read apart
-            keep = hi - lo >= machine.shortest
-            for a, b in zip(lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                d = int(np.searchsorted(of, a, "right")) - 1
-                while d < end - first and of[d] < b:
-                    x, y = max(a, int(of[d])), min(b, int(of[d + 1]))
-                    if y - x >= machine.shortest:
-                        runs.setdefault(d, []).append((x, y))
-                    d += 1
-        text = lower.tobytes() if runs else b""
+        hashes = K.word_hashes(lower, starts, ends)
+        spans: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, set] = {}
+        text = None
+        for machine in machines:
+            for d, runs in _runs(machine, hashes, of).items():
+                text = text if text is not None else lower.tobytes()
+                for x, y in runs:
+                    got, items = machine.read([text[s:e] for s, e in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)], hashes[x:y])
+                    base = x - int(of[d])
+                    spans.setdefault(d, []).extend((s + base, e + base) for s, e in got)
+                    found.setdefault(d, set()).update(machine.names[i] for i in items)
         for d in range(end - first):
-            spans: list[tuple[int, int]] = []
-            found: set = set()
-            for x, y in runs.get(d, ()):
-                got, names = machine.read([text[s:e] for s, e in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)])
-                base = x - int(of[d])
-                spans += [(s + base, e + base) for s, e in got]
-                found |= names
-            yield first + d, count[d], merge(spans), found
+            yield first + d, count[d], merge(spans.get(d, [])), found.get(d, set())
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -202,30 +270,39 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks_of_items(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items in blocks of at most about AUTOMATON_WORDS words: the driver holds one block at a time."""
+def _passes(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[Automaton]]:
+    """Automata of all items, those of about PASS_WORDS words at a time: the driver holds the words of one pass and builds one automaton."""
     size = items.agg(F.sum(F.octet_length(text_col)).alias("b")).first().b or 0
     # a word and what parts it take two bytes at least; real text takes five or more
-    n = max(1, -(-size // (5 * AUTOMATON_WORDS)))
+    n = max(1, -(-size // (5 * PASS_WORDS)))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k) if n > 1 else items
-        rows = part.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct().toLocalIterator()
-        yield sorted(((r.i, item_words(r.t)) for r in rows if r.i is not None), key=lambda r: str(r[0]))
+        rows = part.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct().toLocalIterator()
+        held = sorted(((r.i, item_words(r.t)) for r in rows), key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        machines: list[Automaton] = []
+        block: list[tuple[str | None, list[bytes]]] = []
+        room = AUTOMATON_WORDS
+        for item in held:
+            if block and room < len(item[1]):
+                machines.append(Automaton(block, window))
+                block, room = [], AUTOMATON_WORDS
+            block.append(item)
+            room -= len(item[1])
+        yield [*machines, Automaton(block, window)]
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, hit_spans (array of start and end in words, merged) and hit_items (ids as strings, sorted).
 
     A window is `window` words in a row of an item, or a whole item of fewer
-    words; a null or wordless text or item has none. An item without an id is
-    left out. Columns of docs with the added names are replaced.
+    words; a null or wordless text or item has none. Items without an id are one
+    item, whose id is a null at the end of hit_items. Without items nothing is hit;
+    an empty table of docs has no rows. Columns of docs with the added names are
+    replaced.
     """
     bound_batches(docs.sparkSession)
     docs = docs.drop("n_words", "hit_spans", "hit_items")
-    passes = []
-    for block in _blocks_of_items(items, item_id, item_text):
-        machine = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
-        passes.append(_apply(docs, machine, text_col))
+    passes = [_apply(docs, docs.sparkSession.sparkContext.broadcast(machines), text_col) for machines in _passes(items, item_id, item_text, window)]
     if len(passes) == 1:
         return passes[0]
 
@@ -245,7 +322,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc
     return both.withColumn("hit_spans", united).withColumn("hit_items", names).drop("_vesper_id", "_vesper_hash", "_vesper_spans", "_vesper_items")
 
 
-def _apply(docs: DataFrame, machine, text_col: str) -> DataFrame:
+def _apply(docs: DataFrame, machines, text_col: str) -> DataFrame:
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans_type), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     names = docs.columns
@@ -253,9 +330,9 @@ def _apply(docs: DataFrame, machine, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(scan(batch.column(names.index(text_col)), machine.value))
+            rows = list(scan(batch.column(names.index(text_col)), machines.value))
             spans = pa.array([[{"start": s, "end": e} for s, e in r[2]] for r in rows], pa.list_(span))
-            found = pa.array([sorted({str(x) for x in r[3]}) for r in rows], pa.list_(pa.string()))
+            found = pa.array([sorted(r[3], key=lambda n: (n is None, n or "")) for r in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[1] for r in rows], pa.int64()), spans, found], names=[*names, "n_words", "hit_spans", "hit_items"])
 
     return docs.mapInArrow(run, schema)
@@ -265,7 +342,9 @@ def report(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0
     """id_col, n_words, n_hit (words inside windows), n_items, items_sha256, contaminated, for each row.
 
     contaminated: some word is hit, and those that are hit are at least that
-    share of the words. Rows that repeat an id keep a row each.
+    share of the words. Rows that repeat an id or have none keep a row each; a null
+    text has no words. Items without an id count as one item, which the digest
+    leaves out. Empty tables as in hits(). Other columns aren't read.
     """
     found = hits(docs.select(id_col, text_col), items, window, id_col, text_col, item_id, item_text)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
