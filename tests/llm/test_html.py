@@ -33,6 +33,23 @@ CASES = [
     ("x<td>y<tr>z", "xyz"),
     ("<input value=v><input type=hidden value=h><textarea>a &amp;\nb</textarea>", "v a &\nb"),
     ("cut off <a href='x", "cut off"),
+    ("<style>.b{visibility:hidden}</style><p class=b>hid<span style='visibility:visible'>seen</span></p>", "seen"),
+    ("<style>p{display:none}p{display:block}</style><p>x", "x"),
+    ("<style>p{display:block}p{display:none}</style><p>x<div>y", "y"),
+    ("<style>p.x{display:block}p{display:none}</style><p class=x>x<p>y", "x"),
+    ("<style>p{display:none!important}#a{display:block}</style><p id=a style='display:block'>x</p>y", "y"),
+    ("<style>p{display:none!important}</style><p style='display:block!important'>x", "x"),
+    ("<style>div p.x{display:none}</style><div><b><p class=x>no</b><p>yes</div><p class=x>yes", "yes\n\nyes"),
+    ("<style>div > i, i + b, i ~ u{display:none}</style><div><i>no</i><b>no</b><b>yes</b><s><i>yes</i></s><u>no</u></div><u>yes</u>", "yesyes\nyes"),
+    ("<style>p:not(.x), [data-k='a b' i], a:hover, b::before{display:none}</style><p>no<p class=x>yes<i data-k='A B'>no</i><a>yes</a><b>yes</b>", "yesyesyes"),
+    ("<style>@media print{b{display:none}}@media screen{i{display:none}}@media (max-width:9px){u{display:none}}</style><b>b</b><i>i</i><u>u</u>", "bu"),
+    ("<style media=print>b{display:none}</style><!-- <style>b{display:none}</style> --><b>b</b>", "b"),
+    ("<style>[hidden]{display:block}</style><p hidden>x<p hidden style='display:none'>y", "x"),
+    ("<style>body.k p{display:none}html>body>i{display:none}</style><body class=k><p>no</p><i>no</i>yes", "yes"),
+    ("<style>li:first-child, li:is(.a, .b){display:none}</style><ul><li>1<li class=b>2<li>3</ul>", "• 3"),
+    ("<style>a{color:red;display : NONE }</style><a>x</a>y", "y"),
+    ("a<select size=3><option>one<option>two</select>b", "a\none\ntwo\nb"),
+    ("<select multiple><optgroup label=G><option>one<option>two</select>", "G\none\ntwo"),
 ]
 
 
@@ -41,7 +58,7 @@ def test_layout(page, text):
     assert html.render(page) == text
 
 
-@pytest.mark.parametrize("page", ["<a " * 100_000, "<div>" * 100_000 + "</b>" * 100_000, "<p>" * 50_000, "<td>" * 50_000, "<table>" * 20_000, '<a href="' * 50_000, "&amp" * 100_000, "<ul><li>" * 20_000 + "x", "<!--" * 100_000, "<table><tr>" + "<td rowspan=99 colspan=99>x" * 5000, "<style>" + "a{" * 50_000 + "none</style>x", "<style>@media" * 20_000 + "none", "<option>" * 50_000, "<table>" + ("<tr><td>" + "y" * 10_000) * 100])
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<div>" * 100_000 + "</b>" * 100_000, "<p>" * 50_000, "<td>" * 50_000, "<table>" * 20_000, '<a href="' * 50_000, "&amp" * 100_000, "<ul><li>" * 20_000 + "x", "<!--" * 100_000, "<table><tr>" + "<td rowspan=99 colspan=99>x" * 5000, "<style>" + "a{" * 50_000 + "none</style>x", "<style>@media" * 20_000 + "none", "<option>" * 50_000, "<style>b ~ i ~ u, b + i{display:none}</style>" + "<b></b><i></i><u>x</u>" * 30_000, "<style>div div div p{display:none}</style>" + "<div>" * 500 + "<p>x</p>" * 20_000, "<style>" + ":not(" * 50_000 + "p{display:none}</style>x", "<style>" + "p " * 50_000 + "{display:none}</style><p>x", "<style>" + "p a{display:none}" * 3_000 + "</style>" + "<p>x</p>" * 300, "<table>" + ("<tr><td>" + "y" * 10_000) * 100])
 def test_time_is_linear(page):
     began = time.time()
     html.render(page)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import css
 from .session import bound_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr frame keygen basefont bgsound".split())
@@ -57,7 +58,7 @@ SPAN = 100
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|=)")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])([\w-]+))?$")
+_SHEET = re.compile(r"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script|\Z)|<style\b(?P<head>[^<>]*)>(?P<sheet>.*?)(?:</style|\Z)", re.IGNORECASE | re.DOTALL)
 
 
 def _attributes(page: str, at: int) -> tuple[dict[str, str] | None, int]:
@@ -326,50 +327,18 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     return out
 
 
-def hidden_by_sheets(sheet: str) -> tuple[set, set, set]:
-    """(tag, class or None), (tag or None, class), ids that simple rules outside of blocks hide."""
-    tags, classes, ids = set(), set(), set()
-    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL)
-    rules, depth, begin, inside = [], 0, 0, 0
-    for m in re.finditer("[{};]", sheet):
-        if m[0] == "{":
-            depth += 1
-            if depth == 1:
-                inside = m.end()
-        elif m[0] == "}" and depth:
-            depth -= 1
-            if not depth:
-                rules.append((sheet[begin : inside - 1], sheet[inside : m.start()]))
-        if not depth:
-            begin = m.end()
-    for selectors, body in rules:
-        if not selectors.lstrip().startswith("@") and "{" not in body and _hides(body) is True:
-            for selector in selectors.split(","):
-                m = _SIMPLE.match(selector.strip())
-                if m and (m[1] or m[3]):
-                    if m[2] == "#":
-                        ids.add(m[3])
-                    elif m[2] == ".":
-                        classes.add(((m[1] or "").lower(), m[3]))
-                    else:
-                        tags.add(m[1].lower())
-    return tags, classes, ids
-
-
-def _hides(style: str) -> bool | None:
-    """True if a declaration hides its element, False if it shows what an ancestor made invisible, else None."""
-    style = style.lower()
-    if "none" not in style and "hidden" not in style and "visible" not in style and "collapse" not in style:
+def sheets_of(page: str) -> css.Sheets | None:
+    """The page's own style sheets, those in comments and scripts left out; None if none of them hides anything."""
+    low = page.lower()
+    if "<style" not in low or "none" not in low and "hidden" not in low and "collapse" not in low:
         return None
-    out = None
-    for part in style.split(";"):
-        key, _, value = part.partition(":")
-        key, value = key.strip(), value.replace("!important", "").strip()
-        if key == "display" and value == "none" or key == "content-visibility" and value == "hidden":
-            return True
-        if key == "visibility":
-            out = True if value in ("hidden", "collapse") else False if value == "visible" else out
-    return out
+    found = []
+    for m in _SHEET.finditer(page):
+        if m["sheet"] is not None:
+            media = re.search(r"\bmedia\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", m["head"], re.IGNORECASE)
+            found.append((next((g for g in media.groups() if g is not None), "") if media else "", m["sheet"]))
+    sheets = css.Sheets(found)
+    return sheets if sheets.by else None
 
 
 def _number(text: str | None, default: int, least: int, most: int) -> int:
@@ -382,20 +351,19 @@ def render(page: str | None) -> str:
 
     Blocks begin lines; paragraphs, headings, lists and the like have an empty line
     around them; list items have bullets or numbers and are indented by level;
-    cells of a table's columns are aligned; pre keeps its white space. Left out:
-    heads, scripts, styles, comments, what hidden, display: none or visibility:
-    hidden cover (attributes, or simple selectors of the page's own style sheets),
-    closed details and dialogs, options that aren't chosen, and contents that stand
-    in for media.
+    cells of a table's columns are aligned; pre keeps its white space; a list box
+    shows all options, another select the chosen one. Left out: heads, scripts,
+    styles, comments, what the cascade of style attributes, the page's own style
+    sheets (selectors as in css) and the hidden attribute gives display: none or
+    leaves invisible, closed details and dialogs, and contents that stand in for
+    media.
     """
     if not page:
         return ""
-    tags, classes, ids = set(), set(), set()
-    if "<style" in page or "<STYLE" in page:
-        for m in re.finditer(r"<style\b[^<>]*>(.*?)(?:</style|\Z)", page, re.IGNORECASE | re.DOTALL):
-            if "none" in m[1] or "hidden" in m[1]:
-                for into, found in zip((tags, classes, ids), hidden_by_sheets(m[1]), strict=True):
-                    into |= found
+    sheets = sheets_of(page)
+    root = css.Element("html", {}, None)
+    body = root.open("body", {})
+    elements = [body]  # beside stack, where there are sheets
     out = Lines()
     contexts: list[tuple] = []  # what tables and cells put aside
     lists: list[list] = []  # [kind, next number]
@@ -403,13 +371,13 @@ def render(page: str | None) -> str:
     invisible: list[bool] = [False]
     stack: list[tuple[str, bool, str]] = []  # tag, hidden, indent before
     pre = 0
-    select: list[list] = []  # [chosen text, now in a chosen option]
+    select: list[list] = []  # [whether one is chosen, now in an option that shows, its text, whether all show]
     details: list[bool] = []  # whether the contents show
     for kind, name, attributes in tree(page):
         if kind == "text":
             if hidden or invisible[-1] or details and not details[-1] and stack[-1][0] == "details":
                 continue
-            if select:
+            if select and not (select[-1][3] and select[-1][1]):
                 if select[-1][1]:
                     select[-1][2].append(name)
                 continue
@@ -422,20 +390,25 @@ def render(page: str | None) -> str:
             continue
         if kind == "open":
             a = attributes or {}
-            hide = hidden > 0 or name in NEVER or "hidden" in a and a["hidden"].lower() != "until-found" or name == "dialog" and "open" not in a or name == "input" and a.get("type", "").lower() == "hidden"
-            seen = invisible[-1]
-            if not hide:
-                style = _hides(a["style"]) if "style" in a else None
-                if style is None and (tags or classes or ids):
-                    names = a.get("class", "").split()
-                    if name in tags or a.get("id") in ids or any(("", c) in classes or (name, c) in classes for c in names):
-                        style = True
-                if style is True and "visibility" in a.get("style", "").lower() and "display" not in a.get("style", "").lower():
-                    seen = True
-                elif style is True:
-                    hide = True
-                elif style is False:
-                    seen = False
+            given: dict[str, str] = {}
+            if sheets:
+                if name in ("html", "body"):
+                    one = root if name == "html" else body
+                    one.attributes.update(a)
+                    one.classes = frozenset(one.attributes.get("class", "").split())
+                else:
+                    one = (root if name == "head" else elements[-1]).open(name, a)
+                if not hidden:
+                    given = sheets.style(one)
+                if name not in VOID:
+                    elements.append(body if name in ("html", "body") else one)
+            elif "style" in a:
+                given = {p: value for p, (_, value) in css.declarations(a["style"]).items()}
+            by_default = "hidden" in a and a["hidden"].lower() != "until-found" or name == "dialog" and "open" not in a
+            display = given.get("display", "revert")
+            hide = hidden > 0 or name in NEVER or name == "input" and a.get("type", "").lower() == "hidden" or display == "none" or by_default and display.startswith("revert") or given.get("content-visibility") == "hidden"
+            visibility = given.get("visibility", "inherit")
+            seen = visibility in ("hidden", "collapse") or invisible[-1] and visibility not in ("visible", "initial")
             if not hide and details and not details[-1] and name != "summary" and stack and stack[-1][0] == "details":
                 hide = True
             if name not in VOID:
@@ -489,7 +462,17 @@ def render(page: str | None) -> str:
                     out.block(2)
                 pre += 1
             elif name == "select":
-                select.append([None, False, []])
+                every = "multiple" in a or _number(a.get("size"), 1, 0, 10**6) > 1
+                if every:
+                    out.block(1)
+                select.append([None, False, [], every])
+            elif name == "optgroup" and select and select[-1][3]:
+                out.block(1)
+                if not seen:
+                    out.text(a.get("label", ""))
+            elif name == "option" and select and select[-1][3]:
+                out.block(1)
+                select[-1][1] = True
             elif name == "option" and select:
                 chosen = "selected" in a
                 first = select[-1][0] is None
@@ -510,6 +493,8 @@ def render(page: str | None) -> str:
             continue
         _, was_hidden, indent = stack.pop()
         invisible.pop()
+        if sheets:
+            elements.pop()
         if was_hidden:
             hidden -= 1
             continue
@@ -544,9 +529,14 @@ def render(page: str | None) -> str:
                 out.block(2)
         elif name == "option" and select:
             select[-1][1] = False
+            if select[-1][3]:
+                out.block(1)
         elif name == "select" and select:
-            text = "".join(select.pop()[2])
-            if not select and not invisible[-1]:
+            _, _, text, every = select.pop()
+            text = "".join(text)
+            if every:
+                out.block(1)
+            elif not select and not invisible[-1]:
                 out.text(f" {text} ")
         elif name in SPACED:
             out.block(2)
@@ -556,7 +546,11 @@ def render(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id_col and text (the visible text of html_col) for each row of pages; other columns aren't read."""
+    """id_col and text (the visible text of html_col) for each row of pages; other columns aren't read.
+
+    A null, empty or textless page has the text "". Rows that repeat an id or have
+    none keep a row each; an empty table has no rows.
+    """
     bound_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
 
