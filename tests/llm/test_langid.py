@@ -26,26 +26,56 @@ def test_probabilities_add_up_and_are_kneser_neys():
     texts = ["abab abc", "bca cab b", "aaa"]
     data = " ".join(texts).encode()
     letters, of = L.characters(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    alphabet = np.array(sorted({int(c) for c in letters} - {0}))
-    blank = L.Models(["x"], alphabet, 3)
-    codes = L._codes(blank.symbols()[letters], 3)[1:]
-    found, n = np.unique(codes, return_counts=True)
-    model = L.kneser_ney({0: n}, found, alphabet, ["x"], 3)
-    size = 2 + len(alphabet)
-    for context in {int(c) >> 6 for c in found} | {(2 << 6) + 2, 999}:
-        every = np.array([(context << 6) + s for s in range(size)], np.uint64)
-        assert model.probabilities(every)[:, 0].sum() == pytest.approx(1.0)
+    count = {}
+    for gram in zip(*(c[1:].tolist() for c in L._back(letters, of, 3)), strict=True):
+        count[gram] = count.get(gram, 0) + 1
+    grams = [np.array(c) for c in zip(*count, strict=True)]
+    n = np.array([*count.values()])
+    # a language beside it that has other letters doesn't change anything
+    model = L.kneser_ney([(grams, n), ([g + 5 for g in grams], n)], ["x", "y"], 3)
+    model.size = size = 1 + len(set(letters.tolist()))
+    alone = L.kneser_ney([(grams, n)], ["x"], 3)
+    every = [*sorted(set(letters.tolist())), 999]
+    for context in {g[1:] for g in count} | {(97, 97), (999, 97), (97, 999)}:
+        asked = [np.array(every), *(np.full(size, c) for c in context)]
+        assert model.probabilities(asked)[:, 0].sum() == pytest.approx(1.0)
+        assert model.probabilities(asked)[:, 0] == pytest.approx(alone.probabilities(asked)[:, 0])
     # the highest order by hand: discounted share of the count plus weight times the lower order
     n1, n2 = (n == 1).sum(), (n == 2).sum()
     d = min(0.9, max(0.1, n1 / (n1 + 2 * n2)))
-    c = int(found[0])
-    same = [(int(x), int(k)) for x, k in zip(found, n, strict=True) if int(x) >> 6 == c >> 6]
-    total = sum(k for _, k in same)
-    lower = L.kneser_ney({0: n}, found, alphabet, ["x"], 3)
-    lower.p[3][:] = 0
-    base = lower.probabilities(np.array([c], np.uint64))[0, 0] / (d * len(same) / total)
-    expected = max(n[0] - d, 0) / total + d * len(same) / total * base
-    assert model.probabilities(np.array([c], np.uint64))[0, 0] == pytest.approx(expected)
+    gram = next(iter(count))
+    same = [k for g, k in count.items() if g[1:] == gram[1:]]
+    asked = [np.array([c]) for c in gram]
+    lower = L.kneser_ney([(grams, n)], ["x"], 3)
+    lower.p[3].value[:] = 0
+    base = lower.probabilities(asked)[0, 0] / (d * len(same) / sum(same))
+    expected = max(count[gram] - d, 0) / sum(same) + d * len(same) / sum(same) * base
+    assert alone.probabilities(asked)[0, 0] == pytest.approx(expected)
+
+
+def test_entropies_don_t_depend_on_blocks(spark, documents, monkeypatch):
+    import pyarrow as pa
+
+    models = L.train(documents)
+    data, offsets = K.flat(pa.array([r.text for r in documents.limit(30).collect()] + ["", "é", "12 a"]))
+    bits, n = L.Scorer(models).entropies(data, offsets)
+    monkeypatch.setattr(L, "AT_ONCE", 999)
+    monkeypatch.setattr(L, "KEPT", 9999)
+    again, m = L.Scorer(models).entropies(data, offsets)
+    assert again == pytest.approx(bits) and m.tolist() == n.tolist()
+
+
+def test_many_languages(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for lang in range(260):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 7))) for _ in range(12)]
+        rows += [(len(rows) + k, " ".join(rng.choice(words) for _ in range(40)), f"l{lang}") for k in range(6)]
+    lang = {i: x for i, _, x in rows}
+    out = [r for r in L.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in out]) > 0.97
 
 
 def test_characters_don_t_depend_on_neighbours(documents):

@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of character n-grams for each language. The n-grams of all languages are
-stored in arrays sorted by their hash, with their probability, and contexts with
-the weight of the next lower order. A text's language is the one of lowest
+One model of character n-grams for each language, over all letters. The n-grams of
+all languages are stored in arrays sorted by their hash, with their probability in
+each language that has them, and contexts with the weight of the next lower order. A text's language is the one of lowest
 cross-entropy per character; where that is higher than what the language's own
 held-back texts reach, the text is rejected.
 """
@@ -22,20 +22,14 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .session import bound_batches
 
-#: Rows of each language that the models are fitted on, about; chosen by hash of the id.
-SAMPLE_ROWS = 3000
-#: Languages that are learnt at most, the most frequent ones.
-LANGUAGES = 200
-#: Letters that are told apart: as many as a symbol's 16 bits hold.
-ALPHABET = (1 << 16) - 2
-#: Characters of an n-gram, at most four: codes are packed in 64 bits.
+#: Rows that the models are fitted on, about, chosen by hash of the id: of each language, and of all together.
+SAMPLE_ROWS, SAMPLE_ALL = 3000, 120_000
+#: Characters of an n-gram; six at most, as three code points are packed in a long.
 ORDER = 4
 #: Bytes of text that are scored at once.
 BLOCK_BYTES = 1 << 20
-#: Probabilities that a worker keeps at most.
-KEPT = 1 << 25
-#: Symbol of what lies around words, and of letters that the sample doesn't have.
-SPACE, RARE = 0, 1
+#: Probabilities that a worker keeps at most, and those that it works on at once.
+KEPT, AT_ONCE = 1 << 25, 1 << 22
 
 
 def _fold_table() -> np.ndarray:
@@ -81,61 +75,82 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return put[keep], np.append(kept[starts], kept[-1])
 
 
-def symbol_bits(alphabet: np.ndarray) -> int:
-    return 6 if len(alphabet) <= 62 else 16
-
-
-def _mask(symbols: int, bits: int) -> np.uint64:
-    return np.uint64((1 << (bits * symbols)) - 1)
-
-
-def _codes(symbols: np.ndarray, order: int, bits: int = 6) -> np.ndarray:
-    """Each position's last `order` symbols, packed; positions before the start count as space."""
-    out = np.zeros(len(symbols), np.uint64)
-    for back in range(order - 1, -1, -1):
-        out <<= np.uint64(bits)
-        if back:
-            out[back:] |= symbols[:-back].astype(np.uint64) if back < len(symbols) else 0
-        else:
-            out |= symbols.astype(np.uint64)
+def _hash(symbols: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, given their code points from the last one back."""
+    out = np.full(len(symbols[0]), len(symbols), np.uint64)
+    for c in symbols:
+        out = out * np.uint64(0x9FB21C651E98DF25) + K.mix(c.astype(np.uint64) + np.uint64(1))
+    return K.mix(out)
+
+
+def _back(letters: np.ndarray, of: np.ndarray, order: int) -> list[np.ndarray]:
+    """Each position's character and those before it, `order` in all; those before a text's start count as space."""
+    out = [letters]
+    for j in range(1, order):
+        x = np.zeros(len(letters), letters.dtype)
+        x[j:] = letters[:-j]
+        for k in range(j):
+            at = of[:-1] + k
+            x[at[at < of[1:]]] = 0
+        out.append(x)
     return out
 
 
-def _hashed(codes: np.ndarray, order: int) -> np.ndarray:
-    return K.mix(codes + (np.uint64(order) << np.uint64(56)))
+@dataclass
+class Sparse:
+    """Values by hash and language: hashes are sorted, and those of the i-th are at[i] to at[i + 1] of the others."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+        """parts: hashes and values by language."""
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)])
+        language = np.concatenate([np.zeros(0, np.int32), *(np.full(len(h), i, np.int32) for i, (h, _) in enumerate(parts))])
+        order = np.argsort(hashes, kind="stable")
+        found, first = np.unique(hashes[order], return_index=True)
+        value = np.concatenate([np.zeros(0), *(v for _, v in parts)])
+        return Sparse(found, np.append(first, len(hashes)).astype(np.int32), language[order], value[order].astype(np.float32))
+
+    def fill(self, into: np.ndarray, hashes: np.ndarray) -> None:
+        """Puts the values of hashes into their rows, beside what else is there."""
+        if not len(self.hashes):
+            return
+        i, there = _find(self.hashes, hashes)
+        row = np.flatnonzero(there)
+        count = self.at[i[row] + 1] - self.at[i[row]]
+        start = np.cumsum(count) - count
+        which = np.repeat(self.at[i[row]] - start, count) + np.arange(int(count.sum()))
+        into[np.repeat(row, count), self.language[which]] = self.value[which]
 
 
 @dataclass
 class Models:
-    """All languages' models. grams[m]: sorted hashes of m-grams; logp[m], back[m]: by n-gram and language."""
+    """All languages' models: p[m] of m-grams, back[m] the weight of what follows a context of m characters."""
 
     languages: list[str]
-    alphabet: np.ndarray
     order: int
-    grams: dict[int, np.ndarray] = field(default_factory=dict)
-    p: dict[int, np.ndarray] = field(default_factory=dict)
-    back: dict[int, np.ndarray] = field(default_factory=dict)
+    #: different characters that were learnt, and one for all others
+    size: int = 1
+    p: dict[int, Sparse] = field(default_factory=dict)
+    back: dict[int, Sparse] = field(default_factory=dict)
     #: cross-entropy in bits that own texts stay under, and how margins become scores
     worst: np.ndarray | None = None
     slope: float = 1.0
 
-    def symbols(self) -> np.ndarray:
-        table = np.full(0x110000, RARE, np.uint16)
-        table[0] = SPACE
-        table[self.alphabet] = np.arange(2, 2 + len(self.alphabet))
-        return table
-
-    def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Of the last symbol after the others, for each n-gram and language."""
-        size = np.uint64(2 + len(self.alphabet))
-        bits = symbol_bits(self.alphabet)
-        p = np.full((len(codes), len(self.languages)), 1.0 / float(size))
+    def probabilities(self, symbols: list[np.ndarray]) -> np.ndarray:
+        """Of the last character after those before it, for each n-gram and language."""
+        n = len(symbols[0])
+        p = np.full((n, len(self.languages)), 1.0 / self.size)
         for m in range(1, self.order + 1):
-            gram = codes & _mask(m, bits)
-            at, there = _find(self.grams[m], _hashed(gram, m))
-            back, known = _find(self.grams[m - 1], _hashed(gram >> np.uint64(bits), m - 1)) if m > 1 else (np.zeros(len(codes), np.int64), np.ones(len(codes), bool))
-            weight = np.where(known[:, None], self.back[m - 1][back], 1.0)
-            p = np.where(there[:, None], self.p[m][at], 0.0) + weight * p
+            weight = np.ones_like(p)
+            self.back[m - 1].fill(weight, _hash(symbols[1:m]) if m > 1 else np.zeros(n, np.uint64))
+            own = np.zeros_like(p)
+            self.p[m].fill(own, _hash(symbols[:m]))
+            p = own + weight * p
         return p
 
 
@@ -144,40 +159,29 @@ def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == values
 
 
-def kneser_ney(counts: dict[int, np.ndarray], codes: np.ndarray, alphabet: np.ndarray, languages: list[str], order: int = ORDER) -> Models:
-    """Models of counted n-grams. codes: packed n-grams of the highest order; counts: by language, of these.
+def kneser_ney(counted: list[tuple[list[np.ndarray], np.ndarray]], languages: list[str], order: int = ORDER) -> Models:
+    """Models of counted n-grams: by language, the code points of each from the last one back, and how often it is there.
 
-    The highest order has counts, lower ones the numbers of different symbols
-    before; one discount an order, n1 / (n1 + 2 n2).
+    The highest order has counts, lower ones the numbers of different characters
+    before; one discount an order and language, n1 / (n1 + 2 n2).
     """
-    out = Models(languages, alphabet, order)
-    bits = symbol_bits(alphabet)
-    number = np.stack([counts[i] for i in range(len(languages))], axis=1).astype(np.float64)
-    for m in range(order, 0, -1):
-        context = codes >> np.uint64(bits)
-        firsts, of = np.unique(context, return_inverse=True)
-        total = np.zeros((len(firsts), len(languages)))
-        kinds = np.zeros_like(total)
-        np.add.at(total, of, number)
-        np.add.at(kinds, of, number > 0)
-        n1, n2 = (number == 1).sum(0), (number == 2).sum(0)
-        discount = np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.9)
-        order_of = np.argsort(_hashed(codes, m))
-        out.grams[m] = _hashed(codes, m)[order_of]
-        out.p[m] = (np.maximum(number - discount, 0) / np.maximum(total[of], 1e-300))[order_of]
-        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1e-300), 1.0)
-        if m > 1:
-            # held beside the lower order's n-grams, of which contexts are some
-            lower = np.unique(np.concatenate([codes & _mask(m - 1, bits), firsts]))
-            out.back[m - 1] = np.ones((len(lower), len(languages)))
-            out.back[m - 1][np.searchsorted(lower, firsts)] = weight
-            next_number = np.zeros((len(lower), len(languages)))
-            np.add.at(next_number, np.searchsorted(lower, codes & _mask(m - 1, bits)), number > 0)
-            out.back[m - 1] = out.back[m - 1][np.argsort(_hashed(lower, m - 1))]
-            codes, number = lower, next_number
-        else:
-            out.back[0] = weight[:1]
-    return out
+    p: dict[int, list] = {m: [] for m in range(1, order + 1)}
+    back: dict[int, list] = {m: [] for m in range(order)}
+    for symbols, number in counted:
+        number = number.astype(np.float64)
+        for m in range(order, 0, -1):
+            contexts = _hash(symbols[1:m]) if m > 1 else np.zeros(len(number), np.uint64)
+            firsts, of = np.unique(contexts, return_inverse=True)
+            total, kinds = np.bincount(of, number, len(firsts)), np.bincount(of, minlength=len(firsts))
+            n1, n2 = (number == 1).sum(), (number == 2).sum()
+            discount = float(np.clip(n1 / max(n1 + 2 * n2, 1), 0.1, 0.9))
+            p[m].append((_hash(symbols[:m]), (number - discount) / total[of] if len(number) else number))
+            back[m - 1].append((firsts, discount * kinds / total if len(number) else total))
+            if m > 1:
+                _, one, times = np.unique(_hash(symbols[: m - 1]), return_index=True, return_counts=True)
+                symbols, number = [c[one] for c in symbols[: m - 1]], times.astype(np.float64)
+    seen = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for symbols, _ in counted for c in symbols[:1])]))
+    return Models(languages, order, len(seen) + 1, {m: Sparse.of(x) for m, x in p.items()}, {m: Sparse.of(x) for m, x in back.items()})
 
 
 class Scorer:
@@ -185,110 +189,90 @@ class Scorer:
 
     def __init__(self, models: Models):
         self.models = models
-        self.symbols = models.symbols()
-        self.width = symbol_bits(models.alphabet)
         self.known = np.zeros(0, np.uint64)
         self.bits = np.zeros((0, len(models.languages)), np.float32)
 
-    def rows(self, codes: np.ndarray) -> np.ndarray:
-        """Each code's row of bits."""
-        asked, of = np.unique(codes, return_inverse=True)
-        if len(self.known):
-            new = asked[~_find(self.known, asked)[1]]
-        else:
-            new = asked
+    def rows(self, hashes: np.ndarray, symbols: list[np.ndarray]) -> np.ndarray:
+        """Each n-gram's row of bits."""
+        asked, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~_find(self.known, asked)[1]) if len(self.known) else np.arange(len(asked))
         if len(new):
-            if (len(self.known) + len(new)) * self.bits.shape[1] > KEPT:
-                new, self.known, self.bits = asked, self.known[:0], self.bits[:0]
-            every = np.concatenate([self.known, new])
+            languages = self.bits.shape[1]
+            if (len(self.known) + len(new)) * languages > KEPT:
+                new, self.known, self.bits = np.arange(len(asked)), self.known[:0], self.bits[:0]
+            step = max(1, AT_ONCE // (8 * languages))
+            at = first[new]
+            found = [-np.log2(np.maximum(self.models.probabilities([c[at[lo : lo + step]] for c in symbols]), 1e-30)).astype(np.float32) for lo in range(0, len(at), step)]
+            every = np.concatenate([self.known, asked[new]])
             order = np.argsort(every)
-            bits = -np.log2(np.maximum(self.models.probabilities(new), 1e-30)).astype(np.float32)
-            self.known, self.bits = every[order], np.concatenate([self.bits, bits])[order]
+            self.known, self.bits = every[order], np.concatenate([self.bits, *found])[order]
         return np.searchsorted(self.known, asked)[of]
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character by text and language, and the number of characters."""
         letters, of = characters(data, offsets)
-        codes = _codes(self.symbols[letters], self.models.order, self.width)
-        starts = of[:-1]
-        # contexts don't reach over a text's start
-        for k in range(1, self.models.order - 1):
-            at = starts + k
-            at = at[at < np.append(starts[1:], of[-1])]
-            codes[at] &= _mask(k + 1, self.width)
-        codes[starts] = 0
+        symbols = _back(letters, of, self.models.order)
         n = np.diff(of) - 1
-        rows = self.rows(codes)  # may replace self.bits
-        each = self.bits[rows]
-        each[starts] = 0  # the space before a text isn't predicted
-        total = np.add.reduceat(each, starts, axis=0, dtype=np.float64) if len(starts) else np.zeros((0, each.shape[1]))
+        total = np.zeros((len(n), self.bits.shape[1]))
+        # so many positions that neither their rows nor the n-grams new among them are too many
+        step = max(1, AT_ONCE // self.bits.shape[1])
+        for lo in range(0, len(letters), step):
+            part = [c[lo : lo + step] for c in symbols]
+            rows = self.rows(_hash(part), part)
+            each = self.bits[rows]
+            first = int(np.searchsorted(of, lo, "right")) - 1
+            last = int(np.searchsorted(of, lo + len(rows), "left"))
+            starts = of[first:last] - lo
+            each[starts[starts >= 0]] = 0  # the space before a text isn't predicted
+            total[first:last] += np.add.reduceat(each, np.maximum(starts, 0), axis=0, dtype=np.float64)
         return total / np.maximum(n, 1)[:, None], n
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, order: int = ORDER) -> Models:
     """Models of all languages that docs name, from about `rows` rows of each, chosen by a hash of the id.
 
-    Rows without text or language teach nothing. Every fifth of the chosen rows is
-    held back to calibrate rejection. Raises ValueError where no language is left.
+    Of more than SAMPLE_ALL / rows languages each has an equal share of SAMPLE_ALL
+    rows. Rows without text or language teach nothing. Every fifth of the chosen
+    rows is held back to calibrate rejection. Raises ValueError where no language
+    is left. The driver holds the sample's n-grams, whatever the input.
     """
+    if not 2 <= order <= 6:
+        raise ValueError("n-grams have two to six characters")
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[lang_col]: r["count"] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
+    sizes = {r[lang_col]: r["count"] for r in labelled.groupBy(lang_col).count().collect()}
     if not sizes:
         raise ValueError("no labelled text to learn from")
     languages = sorted(sizes)
+    rows = min(rows, max(1, SAMPLE_ALL // len(languages)))
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, rows / sizes[lang])))])
+    number = {lang: i for i, lang in enumerate(languages)}
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.where(draw < F.element_at(share, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.lit("held back")), F.lit(5)).alias("fold"), F.col(text_col).alias("text"))
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        for batch in batches:
-            for _, _, data, offsets in K.blocks(batch.column(2)):
-                letters, _ = characters(data, offsets)
-                found, count = np.unique(letters, return_counts=True)
-                for c, n in zip(found.tolist(), count.tolist(), strict=True):
-                    seen[c] = seen.get(c, 0) + n
-        seen.pop(0, None)
-        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.int32()), pa.array([*seen.values()], pa.int64())], names=["c", "n"])
-
-    letters = sample.mapInArrow(points, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
-    alphabet = np.array(sorted(r.c for r in letters), np.int64)
-    blank = Models(languages, alphabet, order)
-
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, bits = blank.symbols(), symbol_bits(blank.alphabet)
-        count: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             names = batch.column(0).to_pylist()
             fold_of = np.array(batch.column(1).to_pylist())
             for first, end, data, offsets in K.blocks(batch.column(2)):
                 letters, of = characters(data, offsets)
-                codes = _codes(symbols[letters], order, bits)
-                starts, length = of[:-1], np.diff(of)
-                for k in range(1, order - 1):
-                    at = (starts + k)[length > k]
-                    codes[at] &= _mask(k + 1, bits)
-                lang = np.repeat([languages.index(x) for x in names[first:end]], length)
-                use = np.repeat(fold_of[first:end] > 0, length)
-                use[starts] = False
-                for i in np.unique(lang[use]).tolist():
-                    found, n = np.unique(codes[use & (lang == i)], return_counts=True)
-                    if i in count:
-                        found, at = np.unique(np.concatenate([count[i][0], found]), return_inverse=True)
-                        n = np.bincount(at, np.concatenate([count[i][1], n])).astype(np.int64)
-                    count[i] = (found, n)
-        for i, (found, n) in count.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
-
-    counted = sample.mapInArrow(grams, "lang int, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    lang, code, n = (counted.column(i).to_numpy() for i in range(3))
-    codes, at = np.unique(code.view(np.uint64), return_inverse=True)
-    counts = {}
+                symbols = _back(letters, of, order)
+                use = np.repeat(fold_of[first:end] > 0, np.diff(of))
+                use[of[:-1]] = False
+                lang = np.repeat(np.array([number[x] for x in names[first:end]]), np.diff(of))[use]
+                symbols = [c[use].astype(np.int64) for c in symbols]
+                _, one, n = np.unique(_hash([*symbols, lang]), return_index=True, return_counts=True)
+                halves = [sum((c[one] << (21 * i) for i, c in enumerate(symbols[k : k + 3])), np.zeros(len(one), np.int64)) for k in (0, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(lang[one].astype(np.int32)), pa.array(halves[0]), pa.array(halves[1]), pa.array(n)], names=["lang", "late", "early", "n"])
+
+    counted = sample.mapInArrow(grams, "lang int, late bigint, early bigint, n bigint").groupBy("lang", "late", "early").agg(F.sum("n").alias("n")).toArrow()
+    lang, late, early, n = (counted.column(i).to_numpy() for i in range(4))
+    by = []
     for i in range(len(languages)):
-        counts[i] = np.zeros(len(codes))
-        counts[i][at[lang == i]] = n[lang == i]
-    models = kneser_ney(counts, codes, alphabet, languages, order)
+        own = lang == i
+        points = [half >> (21 * k) & 0x1FFFFF for half in (late[own], early[own]) for k in range(3)]
+        by.append((points[:order], n[own]))
+    models = kneser_ney(by, languages, order)
 
     # held-back texts: what entropy own texts reach, and how margins go with errors
     held = docs.sparkSession.sparkContext.broadcast(models)
@@ -299,7 +283,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             names = batch.column(0).to_pylist()
             for first, end, data, offsets in K.blocks(batch.column(2)):
                 bits, chars = scorer.entropies(data, offsets)
-                lang = np.array([languages.index(x) for x in names[first:end]])
+                lang = np.array([number[x] for x in names[first:end]])
                 own = bits[np.arange(len(lang)), lang]
                 others = bits.copy()
                 others[np.arange(len(lang)), lang] = np.inf
@@ -310,7 +294,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     measured = sample.where("fold = 0").mapInArrow(measure, "lang int, own double, margin double, chars bigint").toArrow().to_pandas()
     whole = measured[measured.chars >= 100]
     spread = whole.groupby("lang").own.agg(["mean", "std"]) if len(whole) else None
-    ceiling = np.log2(2 + len(alphabet))
+    ceiling = np.log2(models.size)
     models.worst = np.array([ceiling if spread is None or i not in spread.index else min(ceiling, spread["mean"][i] + max(8 * np.nan_to_num(spread["std"][i]), 2.0)) for i in range(len(languages))])
     wrong = measured[(measured.margin < 0) & (measured.margin > -99)]
     # the score is 1/2 at no margin; a typical wrong margin is a score of about 0.73
