@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import components, forest
+from .components import components, forest, look_up
 from .session import bound_batches, cut
 
 #: Fingerprints that one task holds of a cell's two blocks at most.
@@ -196,9 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bound_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows")))
     found = components(links(distinct, limit)).select(F.col("node").alias("fp"), "component")
-    roots = distinct.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
-    roots = roots.join(least, "component").select("fp", "component_id")
-    return prints.join(roots, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = cut(distinct.join(found, "fp", "left").select("fp", "rep", "rows", F.coalesce("component", "fp").alias("component")))
+    least = roots.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    roots = look_up(roots, least, "component", roots.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    return look_up(prints, roots, "fp", prints.count()).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
