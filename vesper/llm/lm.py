@@ -2,11 +2,14 @@
 
 Word counts over all training texts are one grouped table, as large as the
 vocabulary. The FREQUENT most frequent words are sent to the workers; other words
-of a text join the table by hash. Classes of the hidden Markov model are the TOP
-most frequent words, one each, and groups of other words by their last two bytes;
-a word's probability is its class's in a state times its share of the class. The
-model starts from a bounded sample of sequences from anywhere in the texts; then every round of Baum-Welch takes expected
-counts over all training texts, summed across partitions. Scores are exact: the
+of a text join the table by hash. Classes of the hidden Markov model are the words
+seen OWN_COUNT times or more, one each, as many as are sent, and groups of other
+words by their last two bytes; a word's probability is its class's in a state times
+its share of the class. The model starts from a bounded sample of sequences from
+anywhere in the texts; then every round of Baum-Welch takes expected counts over
+all training texts, summed across partitions. A text's forward and backward values
+are exact over its whole length: segments are advanced together, and the product
+of a segment's matrices carries values from one to the next. Scores are exact: the
 scaled forward recursion over the whole text.
 """
 
@@ -22,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .components import look_up
 from .session import bound_batches, cut
 
-#: Words whose counts the workers hold (16 bytes each), and those with a class of their own.
-FREQUENT, TOP = 1 << 19, 4096
+#: Words whose counts the workers hold (16 bytes each, and 16 for each state of those with a class of their own), and how often such words are seen at least.
+FREQUENT, OWN_COUNT = 1 << 19, 16
 #: Classes of other words.
 GROUPS = 512
 STATES = 8
-#: Tokens of a sequence in training; a longer text is several sequences.
+#: Tokens of the segments that training advances together, and of the sequences that start the model.
 SEGMENT = 64
 #: Sequences that the first parameters come from, about, and rounds over them.
 START_SEGMENTS, START_ROUNDS = 8192, 15
@@ -81,26 +85,26 @@ class Table:
 
 @dataclass
 class Vocabulary:
-    """Totals, the counts of frequent words and the classes; spread[class]: log10 of what a word's share is divided by."""
+    """Totals, the counts of frequent words and the classes: own words, then groups; spread: by group, log10 of what a word's share is divided by."""
 
     total: int
     kinds: int
     count: Table
     top: Table
+    own: int
     prior: np.ndarray
     spread: np.ndarray
 
     def classes(self, hashes: np.ndarray, group: np.ndarray) -> np.ndarray:
         found = self.top(hashes)
-        return np.where(found >= 0, found, TOP + group)
+        return np.where(found >= 0, found, self.own + group)
 
 
 @dataclass
 class Hidden:
-    """start of a text, start of a later segment, transitions, and emissions by class and state."""
+    """start of a text, transitions, and emissions by class and state."""
 
     start: np.ndarray
-    later: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
@@ -128,23 +132,71 @@ def forward(model: Hidden, classes: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def segments(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and whether it begins a text, of all runs of at most SEGMENT tokens."""
+    """Start, length and place in its text, of all runs of at most SEGMENT tokens."""
     length = np.diff(of)
     n = -(-length // SEGMENT)
     rank = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     starts = np.repeat(of[:-1], n) + rank * SEGMENT
-    return starts, np.minimum(SEGMENT, np.repeat(of[1:], n) - starts), rank == 0
+    return starts, np.minimum(SEGMENT, np.repeat(of[1:], n) - starts), rank
+
+
+def _products(model: Hidden, classes: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """By segment: the product of moves and emissions of its tokens, scaled."""
+    states = len(model.start)
+    out = np.empty((len(starts), states, states))
+    for lo in range(0, len(starts), 4096):
+        order = lo + np.argsort(-length[lo : lo + 4096], kind="stable")
+        n = length[order]
+        part = np.broadcast_to(np.eye(states), (len(order), states, states)).copy()
+        for t in range(int(n[0])):
+            g = int(np.searchsorted(-n, -t, "left"))
+            part[:g] = (part[:g].reshape(-1, states) @ model.move).reshape(g, states, states) * model.emit[classes[starts[order[:g]] + t]][:, None, :]
+            if t % 8 == 7:
+                part[:g] /= part[:g].max(axis=(1, 2))[:, None, None]
+        out[order] = part / part.max(axis=(1, 2))[:, None, None]
+    return out
+
+
+def _borders(model: Hidden, classes: np.ndarray, starts: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By segment: the forward values before it (of the text's last token there; none for a text's first) and the backward values at its end."""
+    states = len(model.start)
+    before, after = np.zeros((len(starts), states)), np.ones((len(starts), states))
+    later = np.flatnonzero(rank > 0)
+    if not len(later):
+        return before, after
+    product = np.zeros((len(starts), states, states))
+    product[later] = _products(model, classes, starts[later], length[later])
+    # first segments that others follow
+    first = later[rank[later] == 1] - 1
+    alpha = np.broadcast_to(model.start, (len(first), states)) * model.emit[classes[starts[first]]]
+    for t in range(1, SEGMENT):
+        alpha = (alpha @ model.move) * model.emit[classes[starts[first] + t]]
+        alpha /= alpha.sum(axis=1, keepdims=True)
+    before[first + 1] = alpha / alpha.sum(axis=1, keepdims=True)
+    # texts advance together, from segment to segment
+    by_rank = np.argsort(rank[later], kind="stable")
+    cuts = np.searchsorted(rank[later][by_rank], np.arange(1, int(rank.max()) + 2))
+    for r in range(2, int(rank.max()) + 1):
+        at = later[by_rank[cuts[r - 1] : cuts[r]]]
+        x = np.einsum("ij,ijk->ik", before[at - 1], product[at - 1])
+        before[at] = x / x.sum(axis=1, keepdims=True)
+    for r in range(int(rank.max()), 0, -1):
+        at = later[by_rank[cuts[r - 1] : cuts[r]]]
+        x = np.einsum("ijk,ik->ij", product[at], after[at])
+        after[at - 1] = x / x.max(axis=1, keepdims=True)
+    return before, after
 
 
 def expect(model: Hidden, classes: np.ndarray, of: np.ndarray, into: list[np.ndarray]) -> float:
-    """Adds expected counts of starts, later starts, moves and emissions (as in Hidden); returns the log10 probability."""
-    starts, length, first = segments(of)
+    """Adds expected counts of starts, moves and emissions (as in Hidden) given whole texts; returns their log10 probability."""
+    starts, length, rank = segments(of)
+    before, after = _borders(model, classes, starts, length, rank)
     total = 0.0
     states = len(model.start)
     order = np.argsort(-length, kind="stable")
     for lo in range(0, len(order), 2048):
         part = order[lo : lo + 2048]
-        s, n, begin = starts[part], length[part], first[part]
+        s, n, first = starts[part], length[part], rank[part] == 0
         most = int(n[0])
         going = np.searchsorted(-n, -np.arange(most), "left")  # segments longer than t
         alpha = np.zeros((most, len(part), states))
@@ -153,52 +205,58 @@ def expect(model: Hidden, classes: np.ndarray, of: np.ndarray, into: list[np.nda
         for t in range(most):
             g = int(going[t])
             symbol[t, :g] = classes[s[:g] + t]
-            a = np.where(begin[:, None], model.start, model.later) if t == 0 else alpha[t - 1, :g] @ model.move
+            a = np.where(first[:, None], model.start, before[part] @ model.move) if t == 0 else alpha[t - 1, :g] @ model.move
             a = a * model.emit[symbol[t, :g]]
             scale[t, :g] = a.sum(axis=1)
             alpha[t, :g] = a / scale[t, :g, None]
         total += float(np.log10(scale).sum())
-        beta = np.ones((len(part), states))
+        # scaled so that forward times backward values add up to 1
+        beta = after[part]
+        beta = beta / (alpha[n - 1, np.arange(len(part))] * beta).sum(axis=1, keepdims=True)
         for t in range(most - 1, -1, -1):
             g = int(going[t])
             if t + 1 < most:
                 h = int(going[t + 1])
-                after = beta[:h] * model.emit[symbol[t + 1, :h]] / scale[t + 1, :h, None]
-                into[2] += model.move * (alpha[t, :h].T @ after)
-                beta[:h] = after @ model.move.T
+                next_ = beta[:h] * model.emit[symbol[t + 1, :h]] / scale[t + 1, :h, None]
+                into[1] += model.move * (alpha[t, :h].T @ next_)
+                beta[:h] = next_ @ model.move.T
+            if t == 0:
+                # from the segment before
+                next_ = (beta * model.emit[symbol[0]] / scale[0, :, None])[~first]
+                into[1] += model.move * (before[part][~first].T @ next_)
             alpha[t, :g] *= beta[:g]
-        into[0] += alpha[0][begin].sum(axis=0)
-        into[1] += alpha[0][~begin].sum(axis=0)
+        into[0] += alpha[0][first].sum(axis=0)
         inside = np.arange(len(part))[None, :] < going[:, None]
         seen, weight = symbol[inside], alpha[inside]
+        kinds, at = np.unique(seen, return_inverse=True)
         for k in range(states):
-            into[3][:, k] += np.bincount(seen, weight[:, k], len(into[3]))
+            into[2][kinds, k] += np.bincount(at, weight[:, k], len(kinds))
     return total
 
 
-def blank(states: int) -> list[np.ndarray]:
-    return [np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((TOP + GROUPS, states))]
+def blank(states: int, kinds: int) -> list[np.ndarray]:
+    return [np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states))]
 
 
 def maximise(counts: list[np.ndarray], prior: np.ndarray) -> Hidden:
     """Parameters of the expected counts; each state's emissions are drawn towards the classes' overall shares a little."""
-    start, later, move, emit = counts
+    start, move, emit = counts
     share = lambda x, add: (x + add) / (x + add).sum(axis=-1, keepdims=True)
     pull = np.maximum(emit.sum(axis=0) * 1e-4, 1.0)
-    return Hidden(share(start, 0.01), share(later, 0.01), share(move, 0.01), (emit + prior[:, None] * pull) / (emit.sum(axis=0) + pull))
+    return Hidden(share(start, 0.01), share(move, 0.01), (emit + prior[:, None] * pull) / (emit.sum(axis=0) + pull))
 
 
 def begin(sample: list[tuple[np.ndarray, np.ndarray]], prior: np.ndarray, states: int, seed: int) -> Hidden:
     """A model from noise, then rounds over the sample; states seldom change at first."""
     rng = np.random.default_rng(seed)
     emit = prior[:, None] * rng.gamma(2.0, 0.5, (len(prior), states))
-    model = Hidden(np.full(states, 1 / states), np.full(states, 1 / states), np.full((states, states), 0.1 / states) + np.eye(states) * 0.9, emit / emit.sum(axis=0))
+    model = Hidden(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + np.eye(states) * 0.9, emit / emit.sum(axis=0))
     if not sample:
         return model
     classes = np.concatenate([c for c, _ in sample])
     of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in sample]))])
     for _ in range(START_ROUNDS):
-        counts = blank(states)
+        counts = blank(states, len(prior))
         expect(model, classes, of, counts)
         model = maximise(counts, prior)
     return model
@@ -228,21 +286,19 @@ def vocabulary(train: DataFrame, text_col: str) -> tuple[DataFrame, Vocabulary]:
     top = words.where(step >= least).select("hash", "n").toArrow()
     hashes, n = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy().astype(np.int64)
     order = np.lexsort((hashes, -n))
-    own = [int(h) for h in hashes[order][:TOP]]
-    if int(END) not in own:
-        own = [*own[: TOP - 1], int(END)]
-    own_hashes = np.array(own, np.uint64)
+    order = order[(n[order] >= OWN_COUNT) | (hashes[order] == END)]
+    own_hashes = hashes[order]
+    if END not in own_hashes:
+        own_hashes = np.append(own_hashes, END)
     count_of = Table(hashes, n, -1)
-    prior = np.zeros(TOP + GROUPS)
-    prior[: len(own)] = np.maximum(count_of(own_hashes), 0) + ADD
-    prior[len(own) : TOP] = 0
-    groups = words.where(~F.col("hash").isin(own_hashes.view(np.int64).tolist())).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    spread = np.zeros(TOP + GROUPS)
-    prior[TOP:] = ADD  # the unseen word of each group
-    for r in groups:
-        prior[TOP + r.kind] = r.n + ADD * (r.v + 1)
-    spread[TOP:] = np.log10(prior[TOP:])
-    return words, Vocabulary(total, kinds, count_of, Table(own_hashes, np.arange(len(own)), -1), prior / prior.sum(), spread)
+    own = len(own_hashes)
+    prior = np.full(own + GROUPS, ADD)  # of a group: its unseen word
+    prior[:own] += np.maximum(count_of(own_hashes), 0)
+    # a step has words of OWN_COUNT times or more only, or of fewer, or both
+    for r in words.where((step < least) | (F.col("n") < OWN_COUNT)).where(F.col("hash") != int(END)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        prior[own + r.kind] += r.n + ADD * r.v
+    spread = np.log10(prior[own:])
+    return words, Vocabulary(total, kinds, count_of, Table(own_hashes, np.arange(own), -1), own, prior / prior.sum(), spread)
 
 
 def train(docs: DataFrame, words: Vocabulary, text_col: str, states: int = STATES, rounds: int = 2, seed: int = 0) -> Hidden:
@@ -255,35 +311,36 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str, states: int = STATE
         for batch in batches:
             for _, _, data, offsets in K.blocks(batch.column(0)):
                 hashes, group, of = tokens(data, offsets)
-                found = held.value.classes(hashes, group).astype(np.int16)
+                found = held.value.classes(hashes, group).astype(np.int32)
                 starts, length, _ = segments(of)
                 draw = K.mix(hashes[starts] ^ K.mix(hashes[starts + length - 1] + length.astype(np.uint64)))
                 chosen = np.flatnonzero((draw >> np.uint64(32)) < np.uint64(int(share * (1 << 32))))
                 yield pa.RecordBatch.from_arrays([pa.array([found[s : s + n].tobytes() for s, n in zip(starts[chosen].tolist(), length[chosen].tolist(), strict=True)], pa.binary())], names=["c"])
 
-    # of copies one starts the model, so the number is near what is expected; the limit bounds the driver
-    sample = [np.frombuffer(r.c, np.int16).astype(np.int64) for r in docs.select(F.col(text_col).cast("string")).mapInArrow(classes, "c binary").distinct().limit(10 * START_SEGMENTS).collect()]
-    sample.sort(key=lambda c: (len(c), c.tobytes()))  # whatever order they came in
+    # of copies one starts the model, so the number is near what is expected; more are cut by hash, which bounds the driver
+    drawn = docs.select(F.col(text_col).cast("string")).mapInArrow(classes, "c binary").distinct().orderBy(F.xxhash64("c"), "c").limit(10 * START_SEGMENTS).collect()
+    sample = [np.frombuffer(r.c, np.int32).astype(np.int64) for r in drawn]
+    sample.sort(key=lambda c: (len(c), c.tobytes()))
     model = begin([(c, np.array([0, len(c)])) for c in sample], words.prior, states, seed)
-    shapes = [a.shape for a in blank(states)]
-    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    names = [f"x{k}" for k in range(states)]
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
+        # rows of counts: starts, moves from each state, emissions of each class
         def expected(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            counts = blank(states)
+            counts = blank(states, len(held.value.prior))
             for batch in batches:
                 for _, _, data, offsets in K.blocks(batch.column(0)):
                     hashes, group, of = tokens(data, offsets)
                     expect(now.value, held.value.classes(hashes, group), of, counts)
-            flat = np.concatenate([c.ravel() for c in counts])
-            some = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["at", "x"])
-
-        sums = docs.select(F.col(text_col).cast("string")).mapInArrow(expected, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        flat = np.zeros(int(ends[-1]))
-        flat[sums.column(0).to_numpy().astype(np.int64)] = sums.column(1).to_numpy()
-        model = maximise([part.reshape(s) for part, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)], words.prior)
+            rows = np.concatenate([counts[0][None, :], counts[1], counts[2]])
+            some = np.flatnonzero(rows.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(rows[some, k]) for k in range(states))], names=["at", *names])
+
+        sums = docs.select(F.col(text_col).cast("string")).mapInArrow(expected, ", ".join(["at bigint", *(f"{x} double" for x in names)])).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        rows = np.zeros((1 + states + len(words.prior), states))
+        rows[sums.column(0).to_numpy().astype(np.int64)] = np.stack([sums.column(1 + k).to_numpy() for k in range(states)], axis=1)
+        model = maximise([rows[0], rows[1 : 1 + states], rows[1 + states :]], words.prior)
         now.unpersist()
     return model
 
@@ -305,7 +362,7 @@ def score(docs: DataFrame, words_table: DataFrame, words: Vocabulary, model: Hid
                 count = words.count(hashes)
                 known = count > 0
                 logs = np.where(known, np.log10(np.maximum(count, 0) + ADD), 0.0)
-                own = np.where(found < TOP, 0.0, logs - words.spread[found])
+                own = np.where(found < words.own, 0.0, logs - words.spread[np.maximum(found - words.own, 0)])
                 text = of[:-1]
                 out[0].append(np.diff(of))
                 out[1].append(np.add.reduceat(known.astype(np.int64), text))
@@ -334,7 +391,9 @@ def score(docs: DataFrame, words_table: DataFrame, words: Vocabulary, model: Hid
     scanned = cut(scanned.withColumn("row", F.monotonically_increasing_id()))
     # words that the workers don't hold: their counts join by hash, and are 0 where training has none
     rare = scanned.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
-    found = rare.join(words_table.select("hash", "n"), "hash", "left").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("more"))
+    asked = rare.groupBy("hash").agg(F.count("*").alias("n")).join(words_table.select("hash", F.col("n").alias("count")), "hash", "left")
+    sizes = scanned.agg(F.sum(F.size("rare"))).first()[0] or 0
+    found = look_up(rare, asked, "hash", sizes).groupBy("row").agg(F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("seen"), F.sum(F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + ADD)).alias("more"))
     all_rows = scanned.drop("rare", "times").join(found, "row", "left").withColumns({"seen": F.coalesce("seen", F.lit(0)), "more": F.coalesce("more", F.lit(0.0))})
     return all_rows.select(id_col, "n_tokens", (F.col("known") + F.col("seen")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("logs") + F.col("more") - F.col("n_tokens") * F.lit(log_total)).alias("base_score"), (F.col("hidden") + F.col("more")).alias("score"))
 
