@@ -175,8 +175,8 @@ def carriers() -> np.ndarray:
 
 def carrier_samples(freq: int, phase: float, amplitude: float) -> np.ndarray:
     cos, sin = carriers()[:, freq].astype(np.float32)
-    p = np.float32(phase)
-    return to_i8((np.cos(p) * cos - np.sin(p) * sin) * (np.float32(amplitude) / np.float32(AMPLITUDE)))
+    p = float(np.float32(phase))
+    return to_i8((np.float32(math.cos(p)) * cos - np.float32(math.sin(p)) * sin) * (np.float32(amplitude) / np.float32(AMPLITUDE)))
 
 
 def carrier_encode(container: np.ndarray, freq: int, phase: float, amplitude: float, mask: np.ndarray | None = None) -> np.ndarray:
@@ -208,7 +208,8 @@ def bundle_i8(rows: np.ndarray) -> np.ndarray:
 def envelope(sigma: float) -> np.ndarray:
     """Gaussian of squared distances 0 to 1059, in 255ths."""
     s = np.float32(2.0) * np.float32(sigma) * np.float32(sigma)
-    return np.minimum(rounded(np.exp(-np.arange(1060, dtype=np.float32) / s) * np.float32(255)), 255).astype(np.uint8)
+    share = np.exp((-np.arange(1060, dtype=np.float32) / s).astype(np.float64)).astype(np.float32)
+    return np.minimum(rounded(share * np.float32(255)), 255).astype(np.uint8)
 
 
 def radius2(sigma: float) -> int:
@@ -247,10 +248,15 @@ def wave(along: np.ndarray, freq: float, phase: float = 0.0) -> np.ndarray:
     return TAU32 * (np.float32(freq) * along.astype(np.float32) / np.float32(32)) + np.float32(phase)
 
 
+def cosine(angle: np.ndarray) -> np.ndarray:
+    """The nearest single-precision values, whatever the library makes of single-precision angles."""
+    return np.cos(angle.astype(np.float64)).astype(np.float32)
+
+
 def gabor_write(container: np.ndarray, sigma: float, x0: int, y0: int, z0: int, freq: float, phase: float, amplitude: float) -> np.ndarray:
     at, env, along = places(sigma, x0, y0, z0)
     out = container.copy()
-    out[at] = add_i8(out[at], to_i8(np.float32(amplitude) * env * np.cos(wave(along, freq, phase))))
+    out[at] = add_i8(out[at], to_i8(np.float32(amplitude) * env * cosine(wave(along, freq, phase))))
     return out
 
 
@@ -352,7 +358,7 @@ def hebbian(a: tuple[int, int, int, float], b: tuple[int, int, int, float], sigm
     for x, y, z, freq in (a, b):
         at, env, along = places(sigma, x, y, z, cut=False)
         whole = np.zeros(SIZE, np.float32)
-        whole[at] = env * np.cos(wave(along, freq))
+        whole[at] = env * cosine(wave(along, freq))
         touched = np.zeros(SIZE, bool)
         touched[at] = True
         signal.append((whole, touched))
@@ -403,7 +409,7 @@ def batch_flush(container: np.ndarray, writes: list[tuple[float, int, int, int,
     total = np.zeros(SIZE, np.float32)
     for sigma, x, y, z, freq, amplitude, phase in writes:
         at, env, along = places(sigma, x, y, z, cut=False)
-        total[at] += np.float32(amplitude) * (env * np.cos(wave(along, freq, phase)))
+        total[at] += np.float32(amplitude) * (env * cosine(wave(along, freq, phase)))
     return add_i8(container, to_i8(total))
 
 
@@ -470,9 +476,11 @@ def gram_schmidt(query: np.ndarray, templates: np.ndarray, order: list[int] | No
 @cache
 def hyperplanes(d: int, planes: int, seed: int) -> np.ndarray:
     rows = SplitMix(seed).gaussian(planes * d).reshape(planes, d).astype(np.float32)
-    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-10)[:, None]
+    sizes = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+    return (rows / np.maximum(sizes, 1e-10)[:, None]).astype(np.float32)
 
 
 def sign_bits(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """Packed bits by row, first plane highest: 1 where the product isn't negative."""
-    return np.packbits(x.astype(np.float32) @ planes.T >= 0, axis=1)
+    bits = [x.astype(np.float64) @ planes[lo : lo + 4096].astype(np.float64).T >= 0 for lo in range(0, len(planes), 4096)]
+    return np.packbits(np.concatenate(bits, axis=1), axis=1)

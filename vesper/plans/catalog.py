@@ -19,6 +19,7 @@ from ..functions import kernels as K
 from ..functions import vectors as V
 from ..operators import focus, ghosts, graph, holograph, index, layers, learn, oracle, phase, recognise, search, sweep
 from ..sources import records
+from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -219,7 +220,7 @@ def indexed_search_set(spark, sf):
     return index.search_set(rows, clusters, members, asked_rows(rows), (16, 16, 17, 17))[0]
 
 
-@query()
+@query(oracles.counters(INDEX, ham, (10, 16, 17, 17)))
 def indexed_search_counters(spark, sf):
     rows, clusters, members = indexed(spark, sf)
     return index.search_set(rows, clusters, members, asked_rows(rows), (10, 16, 17, 17))[1]
@@ -369,7 +370,7 @@ def focus_registry_remove(spark, sf):
     return focus.remove(registry(spark, sf).select("seq", "focus", "concept_id"), 1)[0].select("concept_id")
 
 
-@query()
+@query(oracles.focus_addresses())
 def focus_addresses(spark, sf):
     ids = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("concept_id"))
     return ids.select("concept_id", *[C.concept_focus(F.col("concept_id"), d)[m].alias(f"{d}_{m}") for d in K.DENSITIES for m in ("mx", "my", "mz")])
@@ -583,7 +584,7 @@ def axis_tokens(spark, sf):
     return graph.tokens(part_axes(spark, sf)).select("index", F.col("pos").cast("long").alias("pos"), "token", "rank")
 
 
-@query()
+@query(oracles.entity_templates(AXES))
 def entity_templates(spark, sf):
     return graph.templates(part_axes(spark, sf), 64, BASE, 0.05).select("index", text("vec").alias("vec"))
 
@@ -591,19 +592,19 @@ def entity_templates(spark, sf):
 # ---- ontology readback
 
 
-@query()
+@query(oracles.CONCEPT_READBACK)
 def concept_readback(spark, sf):
     return ghosts.verdicts(ghosts.readback(spark, (4096,))).select("scenario", "index", "id", "domain", "tau", "was_stored", "original_amplitude", F.round("readback", 6).alias("readback"), "is_ghost", "verdict")
 
 
-@query()
+@query(oracles.GHOST_MATRIX)
 def ghost_matrix(spark, sf):
-    return ghosts.matrix(spark, 4096)
+    return ghosts.matrix(spark, 4096).select("stored", *[F.round(d, 6).alias(d) for d in ghosts.DOMAINS])
 
 
-@query()
+@query(oracles.GHOST_DIMENSIONALITY)
 def ghost_dimensionality(spark, sf):
-    return ghosts.counts(ghosts.readback(spark, (256, 512, 1024, 2048, 4096, 8192, 16384)))
+    return ghosts.counts(ghosts.readback(spark, (256, 512, 1024, 2048, 4096, 8192, 16384))).withColumn("max_ghost", F.round("max_ghost", 6))
 
 
 def label_means(spark, sf) -> DataFrame:
@@ -617,7 +618,7 @@ def tau_bucket_corr(spark, sf):
     return ghosts.tau_topology(label_means(spark, sf)).select("bucket", F.round("avg_corr", 6).alias("avg_corr"), F.round("max_corr", 6).alias("max_corr"), "n", "label")
 
 
-@query()
+@query(oracles.TAU_TOPOLOGY)
 def tau_topology(spark, sf):
     return ghosts.tau_topology(ghosts.template_table(spark, 4096)).select("bucket", F.round("avg_corr", 6).alias("avg_corr"), F.round("max_corr", 6).alias("max_corr"), "n", "label")
 
@@ -673,13 +674,13 @@ def cold_size(spark, sf):
     return oracle.cold_size(coefficient_table(spark, sf))
 
 
-@query()
+@query(oracles.surgical_cool(TEMPLATES, COEFFICIENTS))
 def surgical_cool(spark, sf):
     c, t = coefficient_table(spark, sf), template_table(spark, sf)
     return oracle.cool(oracle.materialize(c, t), c, t).select("entity_id", "concept_id", F.round("coefficient", 4).alias("coefficient"))
 
 
-@query()
+@query(oracles.warm_writes(TEMPLATES, COEFFICIENTS))
 def warm_writes_in_order(spark, sf):
     c = coefficient_table(spark, sf).withColumn("seq", F.col("concept_id"))
     return oracle.add_in_order(c, template_table(spark, sf), BASE).select("entity_id", text("vec").alias("vec"))
@@ -703,31 +704,31 @@ def classes(spark, sf) -> DataFrame:
 def recognised(spark, sf, method: str) -> DataFrame:
     asked = vectors(spark, sf).select(F.col("vec_id").alias("query_id"), F.transform("ph", lambda x: x - 128).alias("vec"))
     found = recognise.recognise(asked, recognise.model(classes(spark, sf), 512), method)
-    return found.select("query_id", "best_class", "best_class_id", F.round("best_score", 4).alias("best_score"), "is_novel", F.round("residual_energy", 4).alias("residual_energy"), "method")
+    return found.select("query_id", "best_class", "best_class_id", F.round(F.col("best_score").cast("double"), 4).alias("best_score"), "is_novel", F.round(F.col("residual_energy").cast("double"), 4).alias("residual_energy"), "method")
 
 
-@query()
+@query(oracles.recogniser(VECTORS, "hamming"))
 def recognize_hamming(spark, sf):
     return recognised(spark, sf, "hamming")
 
 
-@query()
+@query(oracles.recogniser(VECTORS, "projection"))
 def recognize_projection(spark, sf):
     return recognised(spark, sf, "projection")
 
 
-@query()
+@query(oracles.recogniser(VECTORS, "two_stage"))
 def recognize_two_stage(spark, sf):
     return recognised(spark, sf, "two_stage")
 
 
-@query()
+@query(oracles.learnt(VECTORS))
 def learnt_classes(spark, sf):
     examples = vectors(spark, sf).select(F.col("label").alias("class_idx"), F.transform("ph", lambda x: x - 128).alias("vec"))
     return recognise.learn(classes(spark, sf), examples).select("class_idx", "class_id", text("template").alias("template"))
 
 
-@query()
+@query(oracles.lsh())
 def lsh_fingerprints(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return recognise.fingerprints(rows, "embedding", 64, 512).select("vec_id", F.hex("fp").alias("fp"))
@@ -766,18 +767,18 @@ def carrier_containers(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("container_id"), C.by_row(encode, "binary")(F.col("embedding")).alias("container"))
 
 
-@query()
+@query(oracles.CARRIER_SPECTRUM)
 def carrier_spectrum(spark, sf):
-    return carrier_containers(spark, sf).select("container_id", F.posexplode(C.carrier_spectrum(F.col("container"))).alias("f", "amplitude")).withColumn("amplitude", F.round("amplitude", 3))
+    return carrier_containers(spark, sf).select("container_id", F.posexplode(C.carrier_spectrum(F.col("container"))).alias("f", "amplitude")).withColumn("amplitude", F.round(F.col("amplitude").cast("double"), 3))
 
 
-@query()
+@query(oracles.CARRIER_ROUNDTRIP)
 def carrier_roundtrip(spark, sf):
     encoded = carrier_containers(spark, sf).withColumn("container", C.carrier_encode(F.lit(bytes(2048)), (F.col("container_id") % 16).cast("int"), F.lit(1.5), F.lit(7.0)))
-    return encoded.select("container_id", C.carrier_decode(F.col("container"), F.col("container_id") % 16).alias("r")).select("container_id", F.round("r.phase", 3).alias("phase"), F.round("r.amplitude", 3).alias("amplitude"))
+    return encoded.select("container_id", C.carrier_decode(F.col("container"), F.col("container_id") % 16).alias("r")).select("container_id", F.round(F.col("r.phase").cast("double"), 3).alias("phase"), F.round(F.col("r.amplitude").cast("double"), 3).alias("amplitude"))
 
 
-@query()
+@query(oracles.CARRIER_BUNDLES)
 def carrier_bundles(spark, sf):
     rows = carrier_containers(spark, sf).select((F.col("container_id") % 20).alias("container_id"), F.col("container_id").alias("seq"), "container")
     return holograph.bundle_in_order(rows).select("container_id", F.md5("bundle").alias("digest"))
@@ -795,15 +796,15 @@ def wavelet_containers(spark, sf) -> DataFrame:
     return holograph.write_in_order(empty, writes(spark, sf))
 
 
-@query()
+@query(oracles.WAVELET_READBACK)
 def wavelet_readback(spark, sf):
     w = writes(spark, sf).join(wavelet_containers(spark, sf), "container_id")
-    return w.select("seq", C.gabor_read(F.col("container"), F.col("sigma"), F.col("x"), F.col("y"), F.col("z"), F.col("freq")).alias("r")).select("seq", F.round("r.phase", 2).alias("phase"), F.round("r.amplitude", 2).alias("amplitude"))
+    return w.select("seq", C.gabor_read(F.col("container"), F.col("sigma"), F.col("x"), F.col("y"), F.col("z"), F.col("freq")).alias("r")).select("seq", F.round(F.col("r.phase").cast("double"), 2).alias("phase"), F.round(F.col("r.amplitude").cast("double"), 2).alias("amplitude"))
 
 
-@query()
+@query(oracles.WAVELET_PEAKS)
 def wavelet_peaks(spark, sf):
-    return holograph.spectral_table(wavelet_containers(spark, sf), 1.5, 15.0).select("container_id", "x", "y", "z", "f", F.round("amp", 2).alias("amp"))
+    return holograph.spectral_table(wavelet_containers(spark, sf), 1.5, 15.0).select("container_id", "x", "y", "z", "f", F.round(F.col("amp").cast("double"), 2).alias("amp"))
 
 
 def _known() -> Column:
@@ -824,25 +825,26 @@ def archetype_detection(spark, sf):
     return rows.select("container_id", F.size("found").alias("n"), F.md5(C.crystallize(F.col("container"), F.col("found"), F.lit(2.0), F.lit(1.0))).alias("crystal"))
 
 
-@query()
+@query(oracles.HEBBIAN)
 def hebbian_overlays(spark, sf):
     rows = wavelet_containers(spark, sf)
     update = C.by_row(lambda o: K.add_i8(C.i8(o), K.hebbian((4, 4, 16, 3.0), (5, 4, 15, 3.0), 2.0, 0.5)).tobytes(), "binary")
     return rows.select("container_id", F.md5(update(F.col("container"))).alias("digest"))
 
 
-@query()
+@query(oracles.BATCH)
 def batch_writes(spark, sf):
     fields = ("sigma", "x", "y", "z", "freq", "amplitude", "phase")
     lists = writes(spark, sf).groupBy("container_id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("w"))
     return lists.select("container_id", F.md5(C.batch_flush(F.lit(bytes(2048)), F.col("w"))).alias("digest"))
 
 
-@query()
+@query(oracles.POINTS)
 def points_5d(spark, sf):
     point = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))
     rows = table(spark, sf, "embeddings").select("vec_id", C.project_5d(point, 42).alias("phase"))
-    return rows.select("vec_id", F.md5("phase").alias("digest"), F.transform(C.recover_5d(F.col("phase"), 42), lambda x: F.round(x, 4)).alias("point"))
+    rows = rows.select("vec_id", F.md5("phase").alias("digest"), C.recover_5d(F.col("phase"), 42).alias("point"))
+    return rows.select("vec_id", "digest", *[F.round(F.get("point", F.lit(d)), 4).alias(f"p{d}") for d in range(5)])
 
 
 # ---- records
