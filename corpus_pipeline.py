@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vesper.llm import decontaminate, langid, mixing, pii, simhash
 from vesper.llm.session import scratch
@@ -27,28 +26,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Rows without an id stay; of rows that repeat an id one stays."""
-    groups = simhash.near_duplicates(docs, shingle=4, limit=4, seed=42)
-    chosen = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_stays")).where("_stays")
-    # of rows that repeat an id the first by content; the join has dealt the texts by id already
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(*COLUMNS[1:]))
-    kept = docs.join(chosen, "doc_id").withColumn("_n", order).where("_n = 1").select(*COLUMNS)
-    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One row of each group of near-duplicates: that of the smallest id, of equal or missing ids the first by content.
+
+    Groups are of rows' fingerprints, whatever the ids: rows that share an id and
+    differ are in groups of their own. Texts are shuffled once, to meet the rows
+    that stay.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("content"))
+    marked = docs.select(*COLUMNS).withColumn("_order", order)
+    groups = simhash.near_duplicates(marked.select("_order", "text"), id_col="_order", shingle=4, limit=4, seed=42)
+    # rows that are equal in all columns have one group and one order
+    chosen = groups.where(F.col("_order") == F.col("component_id")).select("_order").distinct()
+    kept = marked.join(chosen, "_order", "left_semi")
+    repeated = chosen.join(groups.groupBy("_order").count().where("count > 1"), "_order", "left_semi")
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "_order", "left_semi").groupBy("_order").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    return kept.join(repeated, "_order", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words is inside benchmark windows."""
+    """Documents of which less than a twentieth of the words is inside benchmark windows; null and empty texts have none. Rows that repeat or have no id are judged each."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=0.05)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    """All documents, with personal data replaced by its kind; n_chars follows the text. A null text stays null with its n_chars; repeated rows and rows without an id stay."""
     masked = pii.mask(docs.select(*COLUMNS))
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them: columns of documents and copy (1, 2, 3)."""
+    """The documents that the mix takes, as often as it takes them: columns of documents and copy (1, 2, 3). Each row has its own draw, with or without id, text or source."""
     return mixing.mix(docs.select(*COLUMNS), weights=(1, 2, 3), most=3.0, seed=0)
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import components, forest, look_up
@@ -66,14 +67,14 @@ def fingerprints_of(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.nda
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(id_col, fp): the fingerprint's 64 bits as a long for each row; a null or wordless text has 0."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints_of(batch.column(1), shingle, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def groups_for(limit: int, segments: int = 32) -> list[list[int]]:
