@@ -462,7 +462,8 @@ def orthogonal_project(container: np.ndarray, templates: np.ndarray) -> np.ndarr
 def gram_schmidt(query: np.ndarray, templates: np.ndarray, order: list[int] | None = None) -> tuple[np.ndarray, float]:
     """Scores by template, each taken from what the earlier ones left, and the share of energy left over."""
     rest = query.astype(np.float32)
-    energy = float((rest * rest).sum())
+    size = lambda x: float(np.dot(x.astype(np.float64), x.astype(np.float64)))
+    energy = size(rest)
     scores = np.zeros(len(templates), np.float32)
     for i in order if order is not None else range(len(templates)):
         t = templates[i].astype(np.float64)
@@ -470,7 +471,7 @@ def gram_schmidt(query: np.ndarray, templates: np.ndarray, order: list[int] | No
         if norm >= 1e-10:
             scores[i] = np.float32((rest.astype(np.float64) @ t) / norm)
             rest = rest - scores[i] * t.astype(np.float32)
-    return scores, float((rest * rest).sum()) / energy if energy > 1e-10 else 1.0
+    return scores, size(rest) / energy if energy > 1e-10 else 1.0
 
 
 @cache
