@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import cut
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 #: Strict patterns. As the contract has them, but that a run is entered at its start or where the last match ended, so that long runs take linear time; possessive where nothing can be given back.
@@ -35,11 +37,12 @@ LOOSE = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": ("@", r"[\[({]at[\])}]"), "ip": (None, r"(?:[0-9A-Fa-f]{1,4}:){7}"), "card": (None, None), "phone": ("+", None)}
+#: By rule: domains of countries (two letters) and the older generic ones; addresses that hosts have; issuers' first digits; calling codes by zone.
 GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|us|eu|at|ch|it|nl|be|ca|mx|ar)$",
-    "ip": r"^(?!0|127\.|255\.)[0-9A-Fa-f.:]+$",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": r"^(?:\+(?:1|33|34|39|41|43|44|49|52|54)|\(?[2-9][0-9]{2})",
+    "email": r"(?i)\.(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|tel|cat|asia|post|app|dev|cloud|online|shop|site|tech)$",
+    "ip": r"^(?:(?!0\.|127\.|169\.254\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)[0-9.]+|(?!(?:0{1,4}:){7}|[fF][eEfF])[0-9A-Fa-f:]+)$",
+    "card": r"^(?:4|5[0-9]|2[2-7]|3[04-9]|6[0-9])",
+    "phone": r"^(?:\+(?:1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9])|\(?[2-9][0-9]{2})",
 }
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|mail|contact|kontakt|contacto|correo|courriel)[^\n]{0,12}$",
@@ -200,15 +203,8 @@ def probability(model: Classifier, s: Column) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def find(docs: DataFrame, text_col: str = "text", least: float = 0.5, name: str = "pii") -> DataFrame:
-    """docs with an array column: struct<kind, start, end, base, score>, sorted by kind (as in KINDS) and start.
-
-    start and end are code points of the text, end exclusive. Spans of the strict
-    patterns stay whatever their score; others need it to be at least `least`. A
-    null or empty text has none; a column of that name is replaced. The
-    reliabilities come from all texts of docs.
-    """
-    proposed = candidates(docs.drop(name), text_col)
+def _kept(proposed: DataFrame, least: float, name: str) -> DataFrame:
+    """proposed with the spans that stay in the column `name`, sorted by kind and start; the model comes from all its rows."""
     model = fit(proposed.select("_vesper_spans"))
     scored = F.transform("_vesper_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), probability(model, s).alias("score")))
     kept = F.array_sort(F.filter(scored, lambda s: s["base"] | (s["score"] >= least)))
@@ -217,6 +213,19 @@ def find(docs: DataFrame, text_col: str = "text", least: float = 0.5, name: str
     return proposed.withColumn(name, F.when(F.size("_vesper_spans") > 0, named).otherwise(none)).drop("_vesper_spans")
 
 
+def find(docs: DataFrame, text_col: str = "text", least: float = 0.5, name: str = "pii") -> DataFrame:
+    """docs with an array column: struct<kind, start, end, base, score>, sorted by kind (as in KINDS) and start.
+
+    start and end are code points of the text, end exclusive. Spans of the strict
+    patterns stay whatever their score; others need it to be at least `least`. A
+    null or empty text has none; a column of that name is replaced; rows that repeat
+    keep a row each; an empty table has no rows. The reliabilities come from all
+    texts of docs. The patterns read each text once: docs with their proposed spans
+    are written to the shared folder and read from there.
+    """
+    return _kept(cut(candidates(docs.drop(name), text_col)), least, name)
+
+
 def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; spans that overlap are replaced together, by the first's.
 
@@ -236,8 +245,14 @@ def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
 
 
 def report(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (all), for each row of docs."""
-    found = find(docs.select(id_col, text_col), text_col, least, "pii")
+    """id_col, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (all), for each row of docs.
+
+    A null or empty text has no spans; rows that repeat an id or have none keep a
+    row each; an empty table has no rows. Only ids and spans are written between
+    the two passes.
+    """
+    proposed = cut(candidates(docs.select(id_col, text_col), text_col).select(id_col, "_vesper_spans"))
+    found = _kept(proposed, least, "pii")
     base = F.filter("pii", lambda s: s["base"])
     # sorted by kind and start already
     join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

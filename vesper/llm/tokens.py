@@ -152,8 +152,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     to the workers. No begin, end or added special tokens are counted; the
     strings of special tokens in a text are treated as the library does by
     default. A null text counts as empty: 0 bytes and tokens. Rows that repeat
-    share one entry of the cache. cache: its folder, made if missing; None: one
-    for this call. Other columns of docs aren't read.
+    share one entry of the cache and keep a row each, as do rows without an id; an
+    empty table has no rows and adds nothing. cache: its folder, made if missing;
+    None: one for this call. Other columns of docs aren't read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
