@@ -43,8 +43,6 @@ def test_base_scores(documents, monkeypatch):
 def test_forward_and_expected_counts_against_all_paths(monkeypatch):
     import itertools
 
-    # texts of several segments: counts are those of whole texts
-    monkeypatch.setattr(lm, "SEGMENT", 3)
 
     rng = np.random.default_rng(1)
     states, kinds = 2, 3
@@ -70,9 +68,14 @@ def test_forward_and_expected_counts_against_all_paths(monkeypatch):
                     starts[s] += p / total
                 else:
                     moves[path[t - 1], s] += p / total
-    counts = lm.blank(states, kinds)
-    assert lm.expect(model, np.concatenate([np.array(t, np.int64) for t in texts]), of, counts) == pytest.approx(logs.sum())
-    assert counts[0] == pytest.approx(starts) and counts[1] == pytest.approx(moves) and counts[2] == pytest.approx(emits)
+    # whole texts, and texts of several segments: counts are the same
+    for segment, long, most in ((64, 1 << 16, 1 << 21), (3, 1, 6), (3, 5, 9)):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        monkeypatch.setattr(lm, "LONG", long)
+        monkeypatch.setattr(lm, "TOKENS", most)
+        counts = lm.blank(states, kinds)
+        assert lm.expect(model, np.concatenate([np.array(t, np.int64) for t in texts]), of, counts) == pytest.approx(logs.sum())
+        assert counts[0] == pytest.approx(starts) and counts[1] == pytest.approx(moves) and counts[2] == pytest.approx(emits)
 
 
 def test_likelihood_grows_with_each_round():

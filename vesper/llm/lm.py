@@ -8,8 +8,8 @@ words by their last two bytes; a word's probability is its class's in a state ti
 its share of the class. The model starts from a bounded sample of sequences from
 anywhere in the texts; then every round of Baum-Welch takes expected counts over
 all training texts, summed across partitions. A text's forward and backward values
-are exact over its whole length: segments are advanced together, and the product
-of a segment's matrices carries values from one to the next. Scores are exact: the
+are exact over its whole length; of a very long one segments are advanced together,
+and the product of a segment's matrices carries values from one to the next. Scores are exact: the
 scaled forward recursion over the whole text.
 """
 
@@ -29,12 +29,14 @@ from .components import look_up
 from .session import bound_batches, cut
 
 #: Words whose counts the workers hold (16 bytes each, and 16 for each state of those with a class of their own), and how often such words are seen at least.
-FREQUENT, OWN_COUNT = 1 << 19, 16
+FREQUENT, OWN_COUNT = 1 << 19, 128
 #: Classes of other words.
 GROUPS = 512
 STATES = 8
-#: Tokens of the segments that training advances together, and of the sequences that start the model.
-SEGMENT = 64
+#: Tokens of the sequences that start the model, and of the segments of texts of more than LONG tokens.
+SEGMENT, LONG = 64, 1 << 16
+#: Tokens whose forward values are held at once, but for those of one text.
+TOKENS = 1 << 21
 #: Sequences that the first parameters come from, about, and rounds over them.
 START_SEGMENTS, START_ROUNDS = 8192, 15
 ADD = 0.1
@@ -189,51 +191,74 @@ def _borders(model: Hidden, classes: np.ndarray, starts: np.ndarray, length: np.
 
 def expect(model: Hidden, classes: np.ndarray, of: np.ndarray, into: list[np.ndarray]) -> float:
     """Adds expected counts of starts, moves and emissions (as in Hidden) given whole texts; returns their log10 probability."""
-    starts, length, rank = segments(of)
-    before, after = _borders(model, classes, starts, length, rank)
+    length = np.diff(of)
+    # of very long texts segments advance together, given the values at their borders
     total = 0.0
-    states = len(model.start)
+    for t in np.flatnonzero(length > LONG).tolist():
+        own = classes[of[t] : of[t + 1]]
+        starts, n, rank = segments(np.array([0, len(own)]))
+        before, after = _borders(model, own, starts, n, rank)
+        for lo in range(0, len(starts), TOKENS // SEGMENT):
+            part = slice(lo, lo + TOKENS // SEGMENT)
+            total += _expect(model, own, starts[part], n[part], into, rank[part] == 0, before[part], after[part])
     order = np.argsort(-length, kind="stable")
-    for lo in range(0, len(order), 2048):
-        part = order[lo : lo + 2048]
-        s, n, first = starts[part], length[part], rank[part] == 0
-        most = int(n[0])
-        going = np.searchsorted(-n, -np.arange(most), "left")  # segments longer than t
-        alpha = np.zeros((most, len(part), states))
-        scale = np.ones((most, len(part)))
-        symbol = np.zeros((most, len(part)), np.int64)
-        for t in range(most):
-            g = int(going[t])
-            symbol[t, :g] = classes[s[:g] + t]
-            a = np.where(first[:, None], model.start, before[part] @ model.move) if t == 0 else alpha[t - 1, :g] @ model.move
-            a = a * model.emit[symbol[t, :g]]
-            scale[t, :g] = a.sum(axis=1)
-            alpha[t, :g] = a / scale[t, :g, None]
-        total += float(np.log10(scale).sum())
-        # scaled so that forward times backward values add up to 1
-        beta = after[part]
-        beta = beta / (alpha[n - 1, np.arange(len(part))] * beta).sum(axis=1, keepdims=True)
-        for t in range(most - 1, -1, -1):
-            g = int(going[t])
-            if t + 1 < most:
-                h = int(going[t + 1])
-                next_ = beta[:h] * model.emit[symbol[t + 1, :h]] / scale[t + 1, :h, None]
-                into[1] += model.move * (alpha[t, :h].T @ next_)
-                beta[:h] = next_ @ model.move.T
-            if t == 0:
-                # from the segment before
-                next_ = (beta * model.emit[symbol[0]] / scale[0, :, None])[~first]
-                into[1] += model.move * (before[part][~first].T @ next_)
-            alpha[t, :g] *= beta[:g]
-        into[0] += alpha[0][first].sum(axis=0)
-        inside = np.arange(len(part))[None, :] < going[:, None]
-        seen, weight = symbol[inside], alpha[inside]
-        kinds, at = np.unique(seen, return_inverse=True)
-        for k in range(states):
-            into[2][kinds, k] += np.bincount(at, weight[:, k], len(kinds))
+    order = order[(length[order] > 0) & (length[order] <= LONG)]
+    held = np.cumsum(length[order])
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + TOKENS, "right")))
+        total += _expect(model, classes, of[:-1][order[lo:hi]], length[order[lo:hi]], into)
+        lo = hi
     return total
 
 
+def _expect(model: Hidden, classes: np.ndarray, starts: np.ndarray, length: np.ndarray, into: list[np.ndarray], first: np.ndarray | None = None, before: np.ndarray | None = None, after: np.ndarray | None = None) -> float:
+    """expect() of runs of tokens that advance together: of whole texts; or of segments, of which `first` begin one, between these values."""
+    order = np.argsort(-length, kind="stable")
+    starts, length = starts[order], length[order]
+    most, states = int(length[0]), len(model.start)
+    going = np.searchsorted(-length, -np.arange(most), "left")  # runs longer than t
+    at = np.concatenate([[0], np.cumsum(going)])
+    # tokens in the order in which they are read
+    symbol = np.empty(int(at[-1]), classes.dtype)
+    for t in range(most):
+        symbol[at[t] : at[t + 1]] = classes[starts[: going[t]] + t]
+    alpha, scale = np.empty((int(at[-1]), states)), np.empty(int(at[-1]))
+    begin = np.broadcast_to(model.start, (len(starts), states))
+    if first is not None:
+        first, before, after = first[order], before[order], after[order]
+        begin = np.where(first[:, None], model.start, before @ model.move)
+    for t in range(most):
+        own = slice(at[t], at[t + 1])
+        a = begin if t == 0 else alpha[at[t - 1] : at[t - 1] + going[t]] @ model.move
+        a = a * model.emit[symbol[own]]
+        scale[own] = a.sum(axis=1)
+        np.divide(a, scale[own, None], out=alpha[own])
+    # backward values are scaled so that forward times backward adds up to 1
+    beta = np.ones((len(starts), states))
+    if after is not None:
+        beta = after / (alpha[at[length - 1] + np.arange(len(starts))] * after).sum(axis=1, keepdims=True)
+    moves = np.zeros((states, states))
+    for t in range(most - 1, -1, -1):
+        own = slice(at[t], at[t + 1])
+        if t + 1 < most:
+            h = int(going[t + 1])
+            next_ = beta[:h] * model.emit[symbol[at[t + 1] : at[t + 2]]] / scale[at[t + 1] : at[t + 2], None]
+            moves += alpha[at[t] : at[t] + h].T @ next_
+            beta[:h] = next_ @ model.move.T
+        if t == 0 and first is not None:
+            # from the segment before
+            next_ = (beta * model.emit[symbol[own]] / scale[own, None])[~first]
+            moves += before[~first].T @ next_
+        alpha[own] *= beta[: going[t]]
+    into[0] += (alpha[: at[1]] if first is None else alpha[: at[1]][first]).sum(axis=0)
+    into[1] += model.move * moves
+    kinds, which = np.unique(symbol, return_inverse=True)
+    for k in range(states):
+        into[2][kinds, k] += np.bincount(which, alpha[:, k], len(kinds))
+    return float(np.log10(scale).sum())
+
+
 def blank(states: int, kinds: int) -> list[np.ndarray]:
     return [np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states))]
 
@@ -330,9 +355,13 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str, states: int = STATE
         def expected(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             counts = blank(states, len(held.value.prior))
             for batch in batches:
+                classes, lengths = [], [np.zeros(1, np.int64)]
                 for _, _, data, offsets in K.blocks(batch.column(0)):
                     hashes, group, of = tokens(data, offsets)
-                    expect(now.value, held.value.classes(hashes, group), of, counts)
+                    classes.append(held.value.classes(hashes, group).astype(np.int32))
+                    lengths.append(np.diff(of))
+                if classes:
+                    expect(now.value, np.concatenate(classes), np.cumsum(np.concatenate(lengths)), counts)
             rows = np.concatenate([counts[0][None, :], counts[1], counts[2]])
             some = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(rows[some, k]) for k in range(states))], names=["at", *names])
