@@ -9,18 +9,61 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 BASE = ("signed", 7)
-#: Concepts by domain, each as id, tau and name.
-DOMAINS = {
-    "mode": (("standby", 0x87, "Standby"), ("active", 0x83, "Active"), ("learn", 0x81, "Learning"), ("deploy", 0x88, "Deploy")),
-    "nav": (("waypoint", 0x66, "Waypoint"), ("heading", 0x61, "Heading"), ("altitude", 0x62, "Altitude"), ("velocity", 0x63, "Velocity"), ("bearing", 0x64, "Bearing"), ("terrain", 0x65, "Terrain")),
-    "plan": (("mission", 0x70, "Mission"), ("objective", 0x71, "Objective"), ("priority", 0x72, "Priority"), ("deadline", 0x73, "Deadline"), ("resource", 0x74, "Resource"), ("constraint", 0x75, "Constraint")),
-    "sens": (("lidar", 0xE0, "Lidar"), ("radar", 0xE8, "Radar"), ("camera", 0xE1, "Camera"), ("imu", 0xE2, "IMU"), ("gps", 0xE3, "GPS"), ("sonar", 0xE4, "Sonar"), ("thermal", 0xE5, "Thermal"), ("magnetic", 0xE7, "Magnetic")),
-    "ctrl": (("throttle", 0x50, "Throttle"), ("steering", 0x51, "Steering"), ("brake", 0x52, "Brake"), ("pitch", 0x53, "Pitch"), ("roll", 0x54, "Roll"), ("yaw", 0x55, "Yaw"), ("gain", 0x56, "Gain"), ("damping", 0x57, "Damping")),
-    "motor": (("torque", 0x40, "Torque"), ("rpm", 0x41, "RPM"), ("current", 0x42, "Current"), ("pwm", 0x43, "PWM"), ("position", 0x44, "Position"), ("force", 0x45, "Force"), ("encoder", 0x46, "Encoder"), ("servo", 0x47, "Servo")),
-    "proc": (("fft", 0x92, "FFT"), ("filter", 0x93, "Filter"), ("kalman", 0x94, "Kalman"), ("fusion", 0x95, "Fusion"), ("detect", 0x96, "Detection"), ("classify", 0x97, "Classify")),
-    "comm": (("radio", 0xA0, "Radio"), ("protocol", 0xA1, "Protocol"), ("telemetry", 0xA2, "Telemetry"), ("mesh", 0xA3, "Mesh"), ("encrypt", 0xA4, "Encrypt"), ("sync", 0xA5, "Sync")),
-}
-CONCEPTS = tuple((f"{domain}.{key}", tau, name, domain) for domain, rows in DOMAINS.items() for key, tau, name in rows)
+#: All concepts, each as id, tau, name and domain.
+CONCEPTS = (
+    ("mode.standby", 0x87, "Standby", "mode"),
+    ("mode.active", 0x83, "Active", "mode"),
+    ("mode.learn", 0x81, "Learning", "mode"),
+    ("mode.deploy", 0x88, "Deploy", "mode"),
+    ("nav.waypoint", 0x66, "Waypoint", "nav"),
+    ("nav.heading", 0x61, "Heading", "nav"),
+    ("nav.altitude", 0x62, "Altitude", "nav"),
+    ("nav.velocity", 0x63, "Velocity", "nav"),
+    ("nav.bearing", 0x64, "Bearing", "nav"),
+    ("nav.terrain", 0x65, "Terrain", "nav"),
+    ("plan.mission", 0x70, "Mission", "plan"),
+    ("plan.objective", 0x71, "Objective", "plan"),
+    ("plan.priority", 0x72, "Priority", "plan"),
+    ("plan.deadline", 0x73, "Deadline", "plan"),
+    ("plan.resource", 0x74, "Resource", "plan"),
+    ("plan.constraint", 0x75, "Constraint", "plan"),
+    ("sens.lidar", 0xE0, "Lidar", "sens"),
+    ("sens.radar", 0xE8, "Radar", "sens"),
+    ("sens.camera", 0xE1, "Camera", "sens"),
+    ("sens.imu", 0xE2, "IMU", "sens"),
+    ("sens.gps", 0xE3, "GPS", "sens"),
+    ("sens.sonar", 0xE4, "Sonar", "sens"),
+    ("sens.thermal", 0xE5, "Thermal", "sens"),
+    ("sens.magnetic", 0xE7, "Magnetic", "sens"),
+    ("ctrl.throttle", 0x50, "Throttle", "ctrl"),
+    ("ctrl.steering", 0x51, "Steering", "ctrl"),
+    ("ctrl.brake", 0x52, "Brake", "ctrl"),
+    ("ctrl.pitch", 0x53, "Pitch", "ctrl"),
+    ("ctrl.roll", 0x54, "Roll", "ctrl"),
+    ("ctrl.yaw", 0x55, "Yaw", "ctrl"),
+    ("ctrl.gain", 0x56, "Gain", "ctrl"),
+    ("ctrl.damping", 0x57, "Damping", "ctrl"),
+    ("motor.torque", 0x40, "Torque", "motor"),
+    ("motor.rpm", 0x41, "RPM", "motor"),
+    ("motor.current", 0x42, "Current", "motor"),
+    ("motor.pwm", 0x43, "PWM", "motor"),
+    ("motor.position", 0x44, "Position", "motor"),
+    ("motor.force", 0x45, "Force", "motor"),
+    ("motor.encoder", 0x46, "Encoder", "motor"),
+    ("motor.servo", 0x47, "Servo", "motor"),
+    ("proc.fft", 0x92, "FFT", "proc"),
+    ("proc.filter", 0x93, "Filter", "proc"),
+    ("proc.kalman", 0x94, "Kalman", "proc"),
+    ("proc.fusion", 0x95, "Fusion", "proc"),
+    ("proc.detect", 0x96, "Detection", "proc"),
+    ("proc.classify", 0x97, "Classify", "proc"),
+    ("comm.radio", 0xA0, "Radio", "comm"),
+    ("comm.protocol", 0xA1, "Protocol", "comm"),
+    ("comm.telemetry", 0xA2, "Telemetry", "comm"),
+    ("comm.mesh", 0xA3, "Mesh", "comm"),
+    ("comm.encrypt", 0xA4, "Encrypt", "comm"),
+    ("comm.sync", 0xA5, "Sync", "comm"),
+)
 #: Weights of domain and tau in a template, bins of tau, the seed's factor.
 DOMAIN_WEIGHT, TAU_WEIGHT, TAU_BINS, TAU_SEED = 0.35, 0.35, 8, 0xDEADBEEF
 #: Stored concepts and amplitudes by scenario.
@@ -34,6 +77,9 @@ SCENARIOS = {
 #: Pairs whose correlation is shown by name.
 NAMED_PAIRS = ((32, 24), (33, 25), (24, 5), (10, 1), (40, 46), (16, 32), (17, 40), (33, 6))
 
+#: Domains in the order of their first concepts, with the places of their concepts.
+DOMAINS = {domain: tuple(i for i, c in enumerate(CONCEPTS) if c[3] == domain) for domain in dict.fromkeys(c[3] for c in CONCEPTS)}
+
 READBACK = "scenario string, d int, index int, id string, name string, domain string, tau int, was_stored boolean, original_amplitude double, readback double"
 
 
@@ -103,11 +149,7 @@ def counts(rows: DataFrame, threshold: float = 0.02) -> DataFrame:
 
 def matrix(spark: SparkSession, d: int = 4096) -> DataFrame:
     """A row for each stored domain with the mean readback of each other domain; 0 on the diagonal."""
-    bounds, start = {}, 0
-    for domain, rows in DOMAINS.items():
-        bounds[domain] = tuple(range(start, start + len(rows)))
-        start += len(rows)
-    found = readback(spark, (d,), {k: (v, (1.0,) * len(v)) for k, v in bounds.items()})
+    found = readback(spark, (d,), {k: (v, (1.0,) * len(v)) for k, v in DOMAINS.items()})
     value = F.when(F.col("scenario") == F.col("domain"), 0.0).otherwise(F.col("readback"))
     return found.withColumn("v", value).groupBy(F.col("scenario").alias("stored")).pivot("domain", list(DOMAINS)).agg(F.avg("v"))
 

@@ -262,9 +262,8 @@ rb AS (SELECT s.scenario, CAST(s.d AS INTEGER) AS d, CAST(s.index AS INTEGER) AS
 CONCEPT_READBACK = f"""WITH {concepts(4096)}, {read_back(ghosts.SCENARIOS, (4096,))}, r AS (SELECT *, amplitude IS NOT NULL AS was_stored, coalesce(CAST(amplitude AS DOUBLE), 0.0) AS original_amplitude, amplitude IS NULL AND abs(readback) > 0.02 AS is_ghost FROM rb)
 SELECT scenario, r.index, id, domain, CAST(tau AS INTEGER) AS tau, was_stored, original_amplitude, round(readback, 6) AS readback, is_ghost, CASE WHEN is_ghost AND readback > 0 THEN 'GHOST+' WHEN is_ghost THEN 'GHOST-' WHEN NOT was_stored THEN '' WHEN readback / original_amplitude > 1.1 THEN 'ampl' WHEN readback / original_amplitude < 0.5 THEN 'supp' ELSE 'recov' END AS verdict FROM r JOIN co USING (index)"""
 
-_DOMAINS = {d: tuple(i for i, c in enumerate(ghosts.CONCEPTS) if c[3] == d) for d in dict.fromkeys(c[3] for c in ghosts.CONCEPTS)}
-GHOST_MATRIX = f"""WITH {concepts(4096)}, {read_back({d: (own, (1.0,) * len(own)) for d, own in _DOMAINS.items()}, (4096,))}
-SELECT scenario AS stored, {", ".join(f"round(avg(CASE WHEN scenario = domain THEN 0.0 ELSE readback END) FILTER (domain = {_text(d)}), 6) AS {d}" for d in _DOMAINS)} FROM rb JOIN co USING (index) GROUP BY scenario"""
+GHOST_MATRIX = f"""WITH {concepts(4096)}, {read_back({d: (own, (1.0,) * len(own)) for d, own in ghosts.DOMAINS.items()}, (4096,))}
+SELECT scenario AS stored, {", ".join(f"round(avg(CASE WHEN scenario = domain THEN 0.0 ELSE readback END) FILTER (domain = {_text(d)}), 6) AS {d}" for d in ghosts.DOMAINS)} FROM rb JOIN co USING (index) GROUP BY scenario"""
 
 _DIMS = (256, 512, 1024, 2048, 4096, 8192, 16384)
 GHOST_DIMENSIONALITY = f"""WITH {concepts(max(_DIMS))}, {read_back(ghosts.SCENARIOS, _DIMS)}
