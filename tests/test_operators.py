@@ -292,3 +292,21 @@ def test_container_columns(spark):
     r = frame.select(C.spectral_map(F.col("c"), F.lit(1.5)).alias("m"), C.anti_hebbian_update(F.col("c"), F.lit(1.5), F.lit(3), F.lit(4), F.lit(10), F.lit(5.0), F.lit(0.7), F.lit(60.0)).alias("a"), C.flush_and_clean(F.col("c"), F.col("o"), known, F.lit(1.5), F.lit(1e9)).alias("f"), C.orthogonal_project(F.col("c"), F.array("c")).alias("p"), C.perturb(F.col("v"), F.col("k"), 0.0).alias("n"), C.gabor_read(F.col("c"), F.lit(1.5), F.lit(3), F.lit(4), F.lit(10), F.lit(5.0)).alias("g")).first()
     assert len(r.m.phase) == 2048 * 16 and r.n == [1, 2, 3] and r.f == c and r.p == c
     assert np.abs(np.frombuffer(r.a, np.int8)).max() <= 1 and abs(r.g.phase - 0.7) < 0.15
+
+
+def test_hyperplanes_are_stored_by_name(spark, tmp_path):
+    import numpy as np
+
+    from vesper.functions import kernels as K
+    from vesper.operators import recognise
+
+    path = str(tmp_path)
+    recognise.save_planes(spark, path, "first", 32, 64, 5)
+    got = recognise.load_planes(spark, path, "first", 32, 64)
+    assert np.array_equal(got, K.hyperplanes(32, 64, 5))
+    assert recognise.load_planes(spark, path, "second", 32, 64) is None
+    assert recognise.load_planes(spark, path, "first", 16, 64) is None and recognise.load_planes(spark, path, "first", 32, 128) is None
+    classes = spark.createDataFrame([(0, 10, [1, -2] * 16), (1, 11, [-3, 3] * 16)], "class_idx int, class_id long, template array<int>")
+    queries = spark.createDataFrame([(1, [2, -2] * 16), (2, [-1, 2] * 16)], "query_id long, vec array<int>")
+    stored = recognise.recognise(queries, recognise.model(classes, held=got), "hamming").collect()
+    assert sorted(stored) == sorted(recognise.recognise(queries, recognise.model(classes, 64, 5), "hamming").collect())

@@ -70,19 +70,50 @@ to_words = by_row(lambda b: np.frombuffer(b, "<i8").tolist(), "array<bigint>")
 
 
 
-def _apply(values: list[int], changes: list[dict]) -> list[int]:
-    out = np.array(values, np.int64)
-    for c in changes:
-        out[c["pos"]] ^= c["xor"]
-    return out.tolist()
+def _apply(values: pd.Series, places: pd.Series, masks: pd.Series) -> pd.Series:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate([np.zeros(0, np.int64), *values]).astype(np.int64)
+    at = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64) + np.repeat(ends[:-1], [len(p) for p in places])
+    flat[at] ^= np.concatenate([np.zeros(0, np.int64), *masks]).astype(np.int64)
+    return pd.Series([flat[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)], dtype=object)
 
 
-#: An element vector with a compact delta applied.
-apply_compact = by_row(_apply, "array<int>")
+_apply_compact = by_batch(_apply, "array<int>")
+
+
+def apply_compact(vector: Column, changes: Column) -> Column:
+    """An element vector with a compact delta (places differ) applied."""
+    return F.when(vector.isNotNull() & changes.isNotNull(), _apply_compact(F.coalesce(vector, F.array().cast("array<int>")), F.coalesce(F.transform(changes, lambda c: c["pos"].cast("int")), F.array().cast("array<int>")), F.coalesce(F.transform(changes, lambda c: c["xor"].cast("int")), F.array().cast("array<int>"))))
+
+
+def _stacked(containers: pd.Series) -> np.ndarray:
+    return np.stack([i8(c) for c in containers])
+
+
+def by_setting(kernel: Callable, *settings: pd.Series):
+    """(rows, kernel's result) for each different combination of settings in a batch; rows without a null among them."""
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*settings, strict=True)):
+        if not any(pd.isna(k) for k in key):
+            groups.setdefault(key, []).append(i)
+    for key, rows in groups.items():
+        yield rows, kernel(rows, *key)
+
 
 # carriers
 
-carrier_encode = by_row(lambda c, f, phase, amp: K.carrier_encode(i8(c), f, phase, amp).tobytes(), "binary")
+def _encode(containers: pd.Series, freq: pd.Series, phase: pd.Series, amplitude: pd.Series) -> pd.Series:
+    out = np.full(len(containers), None, object)
+    some = containers.notna().to_numpy()
+    for rows, samples in by_setting(lambda rows, f, p, a: K.carrier_samples(int(f), p, a), freq, phase, amplitude):
+        rows = [r for r in rows if some[r]]
+        if rows:
+            for r, row in zip(rows, K.add_i8(_stacked(containers.iloc[rows]), samples[None, :]), strict=True):
+                out[r] = row.tobytes()
+    return pd.Series(out, dtype=object)
+
+
+carrier_encode = by_batch(_encode, "binary")
 focus_carrier_encode = by_row(lambda c, mx, my, mz, f, phase, amp: K.carrier_encode(i8(c), f, phase, amp, K.focus_mask(mx, my, mz)).tobytes(), "binary")
 carrier_bundle = by_row(lambda rows: K.bundle_i8(np.stack([i8(r) for r in rows])).tobytes(), "binary")
 
@@ -105,14 +136,33 @@ carrier_spectrum = by_batch(_spectrum, "array<float>")
 # wavelets
 
 gabor_write = by_row(lambda c, sigma, x, y, z, freq, phase, amp: K.gabor_write(i8(c), sigma, x, y, z, freq, phase, amp).tobytes(), "binary")
-gabor_read = by_row(lambda c, sigma, x, y, z, freq: dict(zip(("phase", "amplitude"), K.gabor_read_one(i8(c), sigma, x, y, z, freq), strict=True)), READING)
+def _read(containers: pd.Series, sigma: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, freq: pd.Series) -> pd.DataFrame:
+    out = pd.DataFrame({"phase": np.full(len(containers), np.nan), "amplitude": np.full(len(containers), np.nan)}).astype(object)
+    some = containers.notna().to_numpy()
+    for rows, reading in by_setting(lambda rows, s, *at: K.gabor_read(_stacked(containers.iloc[[r for r in rows if some[r]]]), s, *map(int, at[:3]), at[3]) if some[rows].any() else None, sigma, x, y, z, freq):
+        rows = [r for r in rows if some[r]]
+        if rows:
+            out.iloc[rows, 0], out.iloc[rows, 1] = reading
+    return out.where(out.notna(), None)
+
+
+gabor_read = by_batch(_read, READING)
 wavelet_template = by_row(lambda sigma, x, y, z: [{"idx": i, "amp": a} for i, a in K.wavelet_template(sigma, x, y, z)], "array<struct<idx:int,amp:int>>")
 find_peaks = by_row(lambda c, sigma, threshold: [dict(zip(("x", "y", "z", "f", "amp", "phase"), p, strict=True)) for p in K.peaks(*K.spectrum(i8(c), sigma), threshold)], PEAK)
 resynthesize = by_row(lambda found, sigma: K.resynthesize(_tuples(found, "x", "y", "z", "f", "amp", "phase"), sigma).tobytes(), "binary")
 residual_energy = by_row(lambda c, known, sigma: K.residual_energy(i8(c), _tuples(known, "x", "y", "z", "freq"), sigma), "double")
 clean_if_needed = by_row(lambda c, known, sigma, noise, clean: K.clean_if_needed(i8(c), _tuples(known, "x", "y", "z", "freq"), sigma, noise, clean)[0].tobytes(), "binary")
 adapt_sigma = by_row(lambda c, sigma, x, y, z, freq, current, rate, target: K.adapt_sigma(i8(c), sigma, x, y, z, freq, current, rate, target), "double")
-archetypes = by_row(lambda c, sigma, threshold: [dict(zip(("x", "y", "f", "amp", "phase"), p, strict=True)) for p in K.archetypes(i8(c), sigma, threshold)], "array<struct<x:int,y:int,f:int,amp:float,phase:float>>")
+def _archetypes(containers: pd.Series, sigma: pd.Series, threshold: pd.Series) -> pd.Series:
+    out = np.full(len(containers), None, object)
+    some = containers.notna().to_numpy()
+    for rows, found in by_setting(lambda rows, s, t: K.archetypes_of(_stacked(containers.iloc[[r for r in rows if some[r]]]), s, t) if some[rows].any() else [], sigma, threshold):
+        for r, each in zip([r for r in rows if some[r]], found, strict=True):
+            out[r] = [dict(zip(("x", "y", "f", "amp", "phase"), p, strict=True)) for p in each]
+    return pd.Series(out, dtype=object)
+
+
+archetypes = by_batch(_archetypes, "array<struct<x:int,y:int,f:int,amp:float,phase:float>>")
 crystallize = by_row(lambda c, found, broad, crystal: K.crystallize(i8(c), _tuples(found, "x", "y", "f", "amp", "phase"), broad, crystal).tobytes(), "binary")
 hebbian_update = by_row(lambda o, a, b, sigma, rate: K.add_i8(i8(o), K.hebbian(tuple(a), tuple(b), sigma, rate)).tobytes(), "binary")
 flat_spectrum = by_row(lambda c, sigma, at: [[{"amplitude": a, "phase": p} for a, p in row] for row in K.flat_spectrum(i8(c), sigma, _tuples(at, "x", "y", "z"))], "array<array<struct<amplitude:float,phase:float>>>")

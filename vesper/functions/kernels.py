@@ -374,15 +374,19 @@ def adapt_sigma(container: np.ndarray, sigma: float, x0: int, y0: int, z0: int,
     return float(np.clip(np.float32(current) * (np.float32(1) - np.float32(rate) * (snr - np.float32(target))), 0.5, 4.0))
 
 
-def archetypes(container: np.ndarray, sigma: float, threshold: float, z: int = 16) -> list[tuple[int, int, int, float, float]]:
-    """(x, y, frequency index, amplitude, phase) of local maxima over the threshold in the plane z."""
-    phase, amplitude = np.empty((8, 8, 16), np.float32), np.empty((8, 8, 16), np.float32)
+def archetypes_of(containers: np.ndarray, sigma: float, threshold: float, z: int = 16) -> list[list[tuple[int, int, int, float, float]]]:
+    """By row: (x, y, frequency index, amplitude, phase) of local maxima over the threshold in the plane z."""
+    phase, amplitude = np.empty((len(containers), 8, 8, 16), np.float32), np.empty((len(containers), 8, 8, 16), np.float32)
     for x in range(8):
         for y in range(8):
             for f, freq in enumerate(FREQUENCIES):
-                phase[x, y, f], amplitude[x, y, f] = gabor_read_one(container, sigma, x, y, z, freq)
-    found = np.argwhere((amplitude > threshold) & (amplitude >= neighbourhood_max(amplitude, (0, 1))))
-    return [(int(x), int(y), int(f), float(amplitude[x, y, f]), float(phase[x, y, f])) for x, y, f in found]
+                phase[:, x, y, f], amplitude[:, x, y, f] = gabor_read(containers, sigma, x, y, z, freq)
+    top = (amplitude > threshold) & (amplitude >= neighbourhood_max(amplitude, (1, 2)))
+    return [[(int(x), int(y), int(f), float(a[x, y, f]), float(p[x, y, f])) for x, y, f in np.argwhere(t)] for t, a, p in zip(top, amplitude, phase, strict=True)]
+
+
+def archetypes(container: np.ndarray, sigma: float, threshold: float, z: int = 16) -> list[tuple[int, int, int, float, float]]:
+    return archetypes_of(container[None, :], sigma, threshold, z)[0]
 
 
 def crystallize(container: np.ndarray, found: list[tuple[int, int, int, float, float]], broad: float, crystal: float) -> np.ndarray:

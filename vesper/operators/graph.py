@@ -19,6 +19,8 @@ from ..sources.graphs import amplitude, axis_tokens
 
 #: Fixed value: the share of a template that axes can take at most.
 MOST_OVERLAP = 0.6
+#: Vectors of each of the two blocks that one task scores against each other.
+BLOCK = 512
 
 
 def by_id(entities: DataFrame) -> DataFrame:
@@ -162,6 +164,110 @@ def ghosts(entities: DataFrame, pairs: DataFrame, vecs: DataFrame, base: tuple[s
     return found.join(a, "i").join(b, "j").select(F.col("i").alias("entity_a"), F.col("j").alias("entity_b"), "name_a", "name_b", "type_a", "type_b", *signals)
 
 
+def _block_pairs(entities: DataFrame, edges: DataFrame, vecs: DataFrame, left: Column | None, right: Column | None) -> DataFrame:
+    """(bi, bj, side, index, kind, vec, other): for each pair of blocks the vectors of one (side 0) and the other (1), and the edges between them (2)."""
+    marks = [c.alias(n) for c, n in ((left, "_left"), (right, "_right")) if c is not None]
+    both = entities.select("index", F.col("entity_type").alias("kind"), *marks).join(vecs, "index")
+    blocks = max(1, -(-entities.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(3)), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    names = ("bi", "bj", "side", "index", "kind", "vec", "other")
+    none = F.lit(None).cast("long").alias("other")
+    known = resolved(entities, edges).select(F.least("i", "j").alias("index"), F.greatest("i", "j").alias("other")).distinct()
+    known = known.withColumns({"side": F.lit(2), "kind": F.lit(None).cast("string"), "vec": F.lit(None).cast(vecs.schema["vec"].dataType), "x": block("index"), "y": block("other")})
+    if left is None:
+        spread = both.withColumn("b", block("index")).withColumn("k", every)
+        rows = spread.select(F.least("b", "k").alias("bi"), F.greatest("b", "k").alias("bj"), F.when(F.col("b") <= F.col("k"), 0).otherwise(1).alias("side"), "index", "kind", "vec", none)
+        return rows.unionByName(known.withColumn("bi", F.least("x", "y")).withColumn("bj", F.greatest("x", "y")).select(*names))
+    rows = both.where("_left").select(block("index").alias("bi"), every.alias("bj"), F.lit(0).alias("side"), "index", "kind", "vec", none)
+    rows = rows.unionByName(both.where("_right").select(every.alias("bi"), block("index").alias("bj"), F.lit(1).alias("side"), "index", "kind", "vec", none))
+    ways = [known.withColumn("bi", F.col(p)).withColumn("bj", F.col(q)).select(*names) for p, q in (("x", "y"), ("y", "x"))]
+    return rows.unionByName(ways[0]).unionByName(ways[1])
+
+
+def _scores(group: pd.DataFrame, base: tuple[str, int], targets: np.ndarray, ordered: bool):
+    """(i, kind, other ids, other kinds, signals): for each vector of one block its pairs with the other that aren't edges."""
+    of = {side: part.sort_values("index") for side, part in group.groupby("side")}
+    a = of.get(0)
+    same = not ordered and group.bi.iloc[0] == group.bj.iloc[0]
+    b = a if same else of.get(1)
+    if a is None or b is None:
+        return
+    known: dict[int, set[int]] = {}
+    if 2 in of:
+        for i, j in zip(of[2]["index"], of[2].other, strict=True):
+            known.setdefault(int(i), set()).add(int(j))
+            known.setdefault(int(j), set()).add(int(i))
+    sizes = np.linalg.norm(targets, axis=0)
+    ids, kinds, vectors = b["index"].to_numpy(), b.kind.to_numpy(), np.stack([np.asarray(v, np.int16) for v in b.vec])
+    for i, kind, v in zip(a["index"].tolist(), a.kind, a.vec, strict=True):
+        keep = ids > i if same else ids != i
+        if i in known:
+            keep &= ~np.isin(ids, list(known[i]))
+        if keep.any():
+            probe = K.bind(np.asarray(v, np.int16)[None, :], vectors[keep], base).astype(np.float64)
+            yield i, kind, ids[keep], kinds[keep], probe @ targets / np.maximum(np.linalg.norm(probe, axis=1)[:, None] * sizes, 1e-10)
+
+
+def all_ghosts(entities: DataFrame, edges: DataFrame, vecs: DataFrame, base: tuple[str, int], signals: dict[str, list[float]], rank_by: str, top: int | None, left: Column | None = None, right: Column | None = None, digits: int = 12) -> DataFrame:
+    """As `ghosts` of all pairs of `nonedges`: vectors meet block by block, BLOCK of each at most, and a block keeps its `top` pairs.
+
+    A vector is shuffled once for each block, not for each pair. Signals that agree
+    to so many digits are tied, and tied pairs come by i and j.
+    """
+    targets = np.stack([np.asarray(v, np.float64) for v in signals.values()], axis=1)
+    at = list(signals).index(rank_by)
+    ordered = left is not None
+    columns = ["entity_a", "entity_b", *signals]
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        held: list[np.ndarray] = []
+        count = 0
+
+        def best() -> None:
+            rows = np.concatenate(held)
+            held[:] = [rows[np.lexsort((rows[:, 1], rows[:, 0], -np.abs(np.round(rows[:, 2 + at], digits))))[:top]]]
+
+        for i, _, others, _, found in _scores(group, base, targets, ordered):
+            first, second = (np.full(len(others), i), others) if ordered else (np.minimum(i, others), np.maximum(i, others))
+            held.append(np.column_stack([first.astype(np.float64), second.astype(np.float64), found]))
+            count += len(others)
+            if top is not None and count > 64 * max(top, 1024):
+                best()
+                count = len(held[0])
+        if held and top is not None:
+            best()
+        rows = np.concatenate(held) if held else np.zeros((0, len(columns)))
+        return pd.DataFrame({c: rows[:, k].astype(np.int64) if k < 2 else rows[:, k] for k, c in enumerate(columns)})
+
+    schema = ", ".join(["entity_a bigint", "entity_b bigint", *(f"`{s}` double" for s in signals)])
+    found = _block_pairs(entities, edges, vecs, left, right).groupBy("bi", "bj").applyInPandas(score, schema)
+    if top is not None:
+        found = found.orderBy(F.desc(F.abs(F.round(rank_by, digits))), "entity_a", "entity_b").limit(top)
+    a = entities.select(F.col("index").alias("entity_a"), F.col("name").alias("name_a"), F.col("entity_type").alias("type_a"))
+    b = entities.select(F.col("index").alias("entity_b"), F.col("name").alias("name_b"), F.col("entity_type").alias("type_b"))
+    return found.join(a, "entity_a").join(b, "entity_b").select("entity_a", "entity_b", "name_a", "name_b", "type_a", "type_b", *signals)
+
+
+def all_types(entities: DataFrame, edges: DataFrame, vecs: DataFrame, base: tuple[str, int], signals: dict[str, list[float]]) -> DataFrame:
+    """`type_summary` of all pairs of `nonedges`; signals are named ghost_signal and direct_strength. Each pair of blocks gives sums by pair of types."""
+    targets = np.stack([np.asarray(signals[s], np.float64) for s in ("ghost_signal", "direct_strength")], axis=1)
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[str, np.ndarray] = {}
+        for i, kind, others, kinds, found in _scores(group, base, targets, False):
+            for other in set(kinds):
+                for lower in (True, False):
+                    own = (kinds == other) & ((others > i) == lower)
+                    if own.any():
+                        name = f"{kind}<->{other}" if lower else f"{other}<->{kind}"
+                        sums[name] = sums.get(name, np.zeros(3)) + np.array([own.sum(), *np.abs(found[own]).sum(axis=0)])
+        return pd.DataFrame([(k, int(v[0]), v[1], v[2]) for k, v in sums.items()], columns=["type_pair", "n", "ghost", "direct"])
+
+    found = _block_pairs(entities, edges, vecs, None, None).groupBy("bi", "bj").applyInPandas(total, "type_pair string, n bigint, ghost double, direct double")
+    return found.groupBy("type_pair").agg(F.sum("n").alias("n"), (F.sum("ghost") / F.sum("n")).alias("mean_ghost"), (F.sum("direct") / F.sum("n")).alias("mean_direct")).orderBy(F.desc("mean_ghost"), "type_pair")
+
+
 def _cosine_literal(probe: Column, target: Column) -> Column:
     add = lambda t, x: t + x
     product = F.aggregate(F.zip_with(probe, target, lambda x, y: x * y), F.lit(0.0), add)

@@ -114,8 +114,10 @@ def search_many(records: DataFrame, clusters: DataFrame, members: DataFrame, que
     """(query_id, row_id, dist) of a query set on one channel: pruned clusters by query, then rows by cluster."""
     asked = queries.select("query_id", F.col(channel).alias("q_vector"))
     near = against(clusters.where(F.col("channel") == channel), asked).where(F.greatest(V.hamming(F.col("centre"), F.col("q_vector")) - F.col("radius"), F.lit(0)) <= most).select("query_id", "q_vector", "cluster_id")
-    rows = members.where(F.col("channel") == channel).select("cluster_id", "row_id").join(records.select("row_id", channel), "row_id")
-    return near.join(rows, "cluster_id").select("query_id", "row_id", V.hamming(F.col(channel), F.col("q_vector")).alias("dist")).where(F.col("dist") <= most)
+    # memberships of clusters that some query reaches, then their records only
+    kept = members.where(F.col("channel") == channel).select("cluster_id", "row_id").join(near.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    rows = records.select("row_id", channel).join(kept, "row_id")
+    return rows.join(near, "cluster_id").select("query_id", "row_id", V.hamming(F.col(channel), F.col("q_vector")).alias("dist")).where(F.col("dist") <= most)
 
 
 def search_set(records: DataFrame, clusters: DataFrame, members: DataFrame, queries: DataFrame, thresholds: tuple[int, int, int, int]) -> tuple[DataFrame, DataFrame]:

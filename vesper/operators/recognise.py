@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -37,6 +37,26 @@ def fingerprints(vectors: DataFrame, vector: str, d: int, planes: int = 4096, se
     return vectors.withColumn(name, C.lsh(F.col(vector).cast("array<float>"), d, planes, seed))
 
 
+def save_planes(spark: SparkSession, path: str, name: str, d: int, planes: int, seed: int = 42 ^ 0xCAFE) -> None:
+    """Stores hyperplanes under a name, in a folder of their own; those that had the name are replaced."""
+    matrix = K.hyperplanes(d, planes, seed)
+    rows = spark.createDataFrame(pd.DataFrame({"plane": np.arange(planes, dtype=np.int32), "plane_values": [row.tobytes() for row in matrix]}), "plane int, plane_values binary")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/name={name}")
+
+
+def load_planes(spark: SparkSession, path: str, name: str, d: int, planes: int) -> np.ndarray | None:
+    """Hyperplanes stored under a name; None if there are none, or none of that number and length."""
+    if planes % 8 or planes <= 0:
+        raise ValueError("planes are a positive multiple of 8")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/name={name}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.parquet(folder.toString()).orderBy("plane").limit(planes + 1).collect()
+    if len(rows) != planes or any(len(r.plane_values) != 4 * d for r in rows):
+        return None
+    return np.frombuffer(b"".join(r.plane_values for r in rows), np.float32).reshape(planes, d)
+
+
 @dataclass
 class Model:
     ids: list[int]
@@ -44,12 +64,17 @@ class Model:
     prints: np.ndarray
     planes: int
     seed: int
+    #: stored hyperplanes, if they aren't to be drawn anew
+    held: np.ndarray | None = None
+
+    def hyperplanes(self, d: int) -> np.ndarray:
+        return K.hyperplanes(d, self.planes, self.seed) if self.held is None else self.held
 
     def recognise(self, query: np.ndarray, method: str) -> tuple:
         k = len(self.ids)
         similar = None
         if method != "projection":
-            own = K.sign_bits(query[None, :], K.hyperplanes(query.shape[0], self.planes, self.seed))
+            own = K.sign_bits(query[None, :], self.hyperplanes(query.shape[0]))
             similar = (1 - np.bitwise_count(own ^ self.prints).sum(axis=1) / np.float32(self.planes)).astype(np.float32)
         if method == "hamming":
             scores = (similar - np.float32(0.5)) * np.float32(2)
@@ -63,14 +88,15 @@ class Model:
         return best, float(scores[best]), scores, bool(abs(scores[best]) < NOVEL_SCORE or residual > NOVEL_RESIDUAL), residual, "TwoStage" if two else "ProjectionReadout"
 
 
-def model(classes: DataFrame, planes: int = 4096, seed: int = 42 ^ 0xCAFE) -> Model:
-    """The classes on the driver, in the order of class_idx; their number is checked before."""
+def model(classes: DataFrame, planes: int = 4096, seed: int = 42 ^ 0xCAFE, held: np.ndarray | None = None) -> Model:
+    """The classes on the driver, in the order of class_idx; their number is checked before. held: stored hyperplanes to use."""
     size = classes.agg(F.sum(F.size("template")).alias("n")).first().n or 0
     if not 0 < size <= MOST_ELEMENTS:
         raise ValueError(f"templates of 1 to {MOST_ELEMENTS} elements can be recognised at once; there are {size}")
     rows = classes.select("class_idx", "class_id", "template").orderBy("class_idx").collect()
     templates = np.array([r.template for r in rows], np.int16)
-    return Model([r.class_id for r in rows], templates, K.sign_bits(templates, K.hyperplanes(templates.shape[1], planes, seed)), planes, seed)
+    drawn = K.hyperplanes(templates.shape[1], planes, seed) if held is None else held
+    return Model([r.class_id for r in rows], templates, K.sign_bits(templates, drawn), planes if held is None else len(held), seed, held)
 
 
 def recognise(queries: DataFrame, known: Model, method: str = "two_stage") -> DataFrame:

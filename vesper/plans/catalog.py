@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -533,8 +534,7 @@ def encoded_edges(spark, sf):
 SELECT i AS entity_a, j AS entity_b, a.type AS type_a, b.type AS type_b, round(s, 6) AS ghost_signal FROM (SELECT * FROM n ORDER BY abs(round(s, 9)) DESC, i, j LIMIT 50) JOIN e a ON a.idx = i JOIN e b ON b.idx = j""")
 def nonedge_pairs_topk(spark, sf):
     entities, edges, vecs, container = stored_edges(spark, sf)
-    found = graph.ghosts(entities, graph.nonedges(entities, edges), vecs, BASE, {"ghost_signal": container}, "ghost_signal", None)
-    best = found.withColumn("_r", F.round("ghost_signal", 9)).orderBy(F.desc(F.abs("_r")), "entity_a", "entity_b").limit(50)
+    best = graph.all_ghosts(entities, edges, vecs, BASE, {"ghost_signal": container}, "ghost_signal", 50, digits=9)
     return best.select("entity_a", "entity_b", "type_a", "type_b", F.round("ghost_signal", 6).alias("ghost_signal"))
 
 
@@ -542,16 +542,16 @@ def nonedge_pairs_topk(spark, sf):
 SELECT a.type || '<->' || b.type AS type_pair, count(*) AS n, round(avg(abs(s)), 6) AS mean_ghost, round(avg(abs(s)), 6) AS mean_direct FROM n JOIN e a ON a.idx = i JOIN e b ON b.idx = j GROUP BY 1""")
 def ghost_type_summary(spark, sf):
     entities, edges, vecs, container = stored_edges(spark, sf)
-    found = graph.ghosts(entities, graph.nonedges(entities, edges), vecs, BASE, {"ghost_signal": container, "direct_strength": container}, "ghost_signal", None)
-    return graph.type_summary(found).select("type_pair", "n", F.round("mean_ghost", 6).alias("mean_ghost"), F.round("mean_direct", 6).alias("mean_direct"))
+    found = graph.all_types(entities, edges, vecs, BASE, {"ghost_signal": container, "direct_strength": container})
+    return found.select("type_pair", "n", F.round("mean_ghost", 6).alias("mean_ghost"), F.round("mean_direct", 6).alias("mean_direct"))
 
 
 @query(f"""WITH {GRAPH}, n AS (SELECT probe.i, probe.j, s FROM probe JOIN e a ON a.idx = probe.i JOIN e b ON b.idx = probe.j WHERE a.type = 'System' AND b.type = 'Stakeholder' AND NOT EXISTS (SELECT 1 FROM g WHERE g.i = probe.i AND g.j = probe.j))
 SELECT i AS entity_a, j AS entity_b, round(s, 6) AS signed_strength FROM n""")
 def dual_ghost_pairs(spark, sf):
     entities, edges, vecs, container = stored_edges(spark, sf)
-    pairs = graph.nonedges(entities, edges, F.col("entity_type") == "System", F.col("entity_type") == "Stakeholder")
-    return graph.ghosts(entities, pairs, vecs, BASE, {"signed_strength": container}, "signed_strength", None).select("entity_a", "entity_b", F.round("signed_strength", 6).alias("signed_strength"))
+    system, nation = F.col("entity_type") == "System", F.col("entity_type") == "Stakeholder"
+    return graph.all_ghosts(entities, edges, vecs, BASE, {"signed_strength": container}, "signed_strength", None, system, nation).select("entity_a", "entity_b", F.round("signed_strength", 6).alias("signed_strength"))
 
 
 @query(f"""WITH {GRAPH}, s AS (SELECT g.type, probe.s FROM g JOIN probe ON probe.i = g.i AND probe.j = g.j)
@@ -756,15 +756,16 @@ def recovery_report(spark, sf):
 
 
 def carrier_containers(spark, sf) -> DataFrame:
-    """Each vector's first sixteen bytes as phases of the sixteen carriers."""
+    """Each vector's first sixteen values as phases of the sixteen carriers."""
 
-    def encode(e) -> bytes:
-        out = np.zeros(K.SIZE, np.int8)
+    def encode(vectors: pd.Series) -> pd.Series:
+        phases = np.stack([np.asarray(v[:16], np.float64) for v in vectors]) * 3.0
+        out = np.zeros((len(phases), K.SIZE), np.int8)
         for f in range(16):
-            out = K.carrier_encode(out, f, float(e[f]) * 3.0, 3.0)
-        return out.tobytes()
+            out = K.add_i8(out, np.stack([K.carrier_samples(f, p, 3.0) for p in phases[:, f]]))
+        return pd.Series([row.tobytes() for row in out], dtype=object)
 
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("container_id"), C.by_row(encode, "binary")(F.col("embedding")).alias("container"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("container_id"), C.by_batch(encode, "binary")(F.col("embedding")).alias("container"))
 
 
 @query(oracles.CARRIER_SPECTRUM)

@@ -29,7 +29,7 @@ def base_summary(spark: SparkSession, path: str, d: int = 1024, bases: tuple[tup
     rows = []
     for base in bases:
         vecs, container, rest, found = encoded(entities, edges, d, base, overlap)
-        top = graph.ghosts(entities, graph.nonedges(entities, edges), vecs, base, {"direct_strength": container, "ghost_signal": rest.tolist()}, "ghost_signal", AMONG).collect()
+        top = graph.all_ghosts(entities, edges, vecs, base, {"direct_strength": container, "ghost_signal": rest.tolist()}, "ghost_signal", AMONG).collect()
         signals = [abs(r.ghost_signal) for r in top]
         rows.append((recognise.base_name(base), len(found), sum(s > GHOST for s in signals), max(signals, default=0.0), float((rest * rest).mean())))
     most = max((r[2] for r in rows), default=0)
@@ -44,7 +44,7 @@ def dual_scenarios(entities: DataFrame, edges: DataFrame, vecs: DataFrame, base:
     nation = F.col("axes.stakeholder_type") == "Nation"
     ends = {"one": (F.col("name") == name, F.lit(True)), "people": (kind("Person"), kind("Person")), "deployments": (kind("System"), nation), "convergence": (kind("Civic"), kind("System"))}
     rank = next(iter(signals))
-    return {k: graph.ghosts(entities, graph.nonedges(entities, edges, a, b), vecs, base, signals, rank, top) for k, (a, b) in ends.items()}
+    return {k: graph.all_ghosts(entities, edges, vecs, base, signals, rank, top, a, b) for k, (a, b) in ends.items()}
 
 
 def ontology_discovery(spark: SparkSession, d: int = 4096, threshold: float = 0.02) -> dict[str, DataFrame]:
