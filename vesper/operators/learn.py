@@ -57,7 +57,7 @@ class Axes:
 def power_iteration(matrix: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Leading eigenvector from the uniform start, and its value."""
     k = len(matrix)
-    v = np.full(k, 1 / np.sqrt(np.float32(max(k, 1))), np.float32)
+    v = np.full(k, 1 / np.sqrt(max(k, 1)))
     for _ in range(rounds):
         w = matrix @ v
         size = np.sqrt((w * w).sum())
@@ -69,34 +69,35 @@ def power_iteration(matrix: np.ndarray, rounds: int = 200) -> tuple[np.ndarray,
 
 def to_grid(coords: np.ndarray) -> np.ndarray:
     """Each axis stretched to 0..7, 0..7, 0..31; a constant one lies in the middle."""
-    out = np.empty_like(coords, np.float32)
+    out = np.empty(coords.shape, np.float32)
     for d, top in enumerate((7.0, 7.0, 31.0)):
         low, high = coords[:, d].min(), coords[:, d].max()
-        out[:, d] = top / 2 if high - low < 1e-10 else (coords[:, d] - low) / (high - low) * np.float32(top)
+        out[:, d] = top / 2 if high - low < 1e-10 else (coords[:, d] - low) / (high - low) * top
     return out
 
 
 def crystallize_matrix(norm: np.ndarray) -> Axes:
-    """Three leading components, one taken away before the next."""
-    norm = norm.astype(np.float32)
+    """Three leading components, one taken away before the next; in double precision, so that rounding doesn't add up over the rounds."""
+    norm = norm.astype(np.float64)
     left, axes, values = norm.copy(), [], []
     for _ in range(3):
         v, value = power_iteration(left)
         axes.append(v)
         values.append(value)
-        left = left - np.float32(value) * np.outer(v, v)
+        left = left - value * np.outer(v, v)
     stacked = np.stack(axes)
     coords = norm @ stacked.T
-    return Axes(stacked, np.array(values, np.float32), to_grid(coords) if len(coords) else coords)
+    return Axes(stacked.astype(np.float32), np.array(values, np.float32), to_grid(coords) if len(coords) else coords.astype(np.float32))
 
 
 def matrix_of(pairs: DataFrame, k: int) -> np.ndarray:
     """The symmetric matrix of (i, j, norm) rows of items 0..k-1."""
     if k > MOST_ITEMS:
         raise ValueError(f"axes are taken from {MOST_ITEMS} items at most")
-    out = np.zeros((k, k), np.float32)
-    for r in pairs.toLocalIterator():
-        out[r.i, r.j] = out[r.j, r.i] = r.norm
+    out = np.zeros((k, k))
+    rows = pairs.select("i", "j", "norm").toArrow()
+    i, j, norm = (rows.column(c).to_numpy() for c in range(3))
+    out[i, j] = out[j, i] = norm
     return out
 
 

@@ -466,11 +466,12 @@ def numbered(spark, sf) -> tuple[DataFrame, DataFrame, int]:
     return learn.cooccurrence(o), learn.totals(o), 24
 
 
-@query()
+@query(oracles.principal_axes(24))
 def principal_axes(spark, sf):
     pairs, totals, k = numbered(spark, sf)
     axes = learn.crystallize(pairs, totals, k)
-    return spark.createDataFrame([(i, *map(float, c), int(f)) for i, (c, f) in enumerate(zip(axes.coords, learn.assign_frequencies(axes.coords), strict=True))], "item int, x double, y double, z double, freq int")
+    rows = spark.createDataFrame([(i, *map(float, c), int(f)) for i, (c, f) in enumerate(zip(axes.coords, learn.assign_frequencies(axes.coords), strict=True))], "item int, x double, y double, z double, freq int")
+    return rows.select("item", *[F.round(c, 3).alias(c) for c in "xyz"], "freq")
 
 
 @query()
@@ -820,7 +821,7 @@ def wavelet_cleaning(spark, sf):
     return rows.select("container_id", F.round(C.residual_energy(c, _known(), F.lit(1.5)), 1).alias("energy"), F.md5(clean).alias("clean"), C.adapt_sigma(c, F.lit(1.5), F.lit(4), F.lit(4), F.lit(16), F.lit(3.0), F.lit(1.5), F.lit(0.1), F.lit(2.0)).alias("sigma"))
 
 
-@query()
+@query(oracles.ARCHETYPES)
 def archetype_detection(spark, sf):
     rows = wavelet_containers(spark, sf).withColumn("found", C.archetypes(F.col("container"), F.lit(1.5), F.lit(8.0)))
     return rows.select("container_id", F.size("found").alias("n"), F.md5(C.crystallize(F.col("container"), F.col("found"), F.lit(2.0), F.lit(1.0))).alias("crystal"))

@@ -286,6 +286,52 @@ y AS (SELECT own.index, dn.pos, list_reduce(terms, lambda a, x: a + x, (1::FLOAT
 SELECT index, string_agg(CAST(CAST(greatest(-3, least(3, {away("y")})) AS INTEGER) AS VARCHAR), ',' ORDER BY pos) AS vec FROM y GROUP BY index"""
 
 
+# ---- axes and archetypes
+
+
+def principal_axes(items: int, sigma: float = 2.0, rounds: int = 200) -> str:
+    """Power iteration, one component taken away before the next; frequencies dealt in order of items."""
+    size = f"sqrt(list_sum(list_transform(mv, lambda x: x * x)))"
+    grid = ", ".join(f"CASE WHEN max(c{d}) OVER () - min(c{d}) OVER () < 1e-10 THEN {top} / 2 ELSE (c{d} - min(c{d}) OVER ()) / (max(c{d}) OVER () - min(c{d}) OVER ()) * {top} END AS c{d}" for d, top in enumerate((7.0, 7.0, 31.0)))
+    return f"""WITH RECURSIVE o AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d %H') AS w, CAST(user_id % {items} AS INTEGER) AS item FROM events), t AS (SELECT item, CAST(count(*) AS DOUBLE) AS total FROM o GROUP BY item),
+n AS (SELECT a.item AS i, b.item AS j, count(*) / sqrt(any_value(x.total) * any_value(y.total)) AS norm FROM o a JOIN o b USING (w) JOIN t x ON x.item = a.item JOIN t y ON y.item = b.item WHERE a.item <> b.item GROUP BY 1, 2),
+g AS (SELECT i, list(coalesce(norm, 0.0::DOUBLE) ORDER BY j) AS line FROM (SELECT i, j FROM range({items}) a(i), range({items}) b(j)) LEFT JOIN n USING (i, j) GROUP BY i), m0 AS (SELECT list(line ORDER BY i) AS m FROM g),
+walk AS (
+  SELECT 0 AS axis, 0 AS step, list_transform(range({items}), lambda i: 1 / sqrt({float(items)}::DOUBLE)) AS v, m FROM m0
+  UNION ALL
+  SELECT CASE WHEN step = {rounds} THEN axis + 1 ELSE axis END, CASE WHEN step = {rounds} THEN 0 ELSE step + 1 END,
+    CASE WHEN step = {rounds} THEN list_transform(range({items}), lambda i: 1 / sqrt({float(items)}::DOUBLE)) WHEN {size} < 1e-10 THEN v ELSE list_transform(mv, lambda x: x / {size}) END,
+    CASE WHEN step = {rounds} THEN list_transform(range({items}), lambda i: list_transform(range({items}), lambda j: m[i + 1][j + 1] - list_dot_product(v, mv) * v[i + 1] * v[j + 1])) ELSE m END
+  FROM (SELECT *, list_transform(m, lambda line: list_dot_product(line, v)) AS mv FROM walk) WHERE axis < 2 OR step < {rounds}
+),
+ax AS (SELECT axis, v FROM walk WHERE step = {rounds}),
+co AS (SELECT i, max(list_dot_product(line, v)) FILTER (axis = 0) AS c0, max(list_dot_product(line, v)) FILTER (axis = 1) AS c1, max(list_dot_product(line, v)) FILTER (axis = 2) AS c2 FROM g, ax GROUP BY i),
+gr AS (SELECT i, {single("c0")} AS c0, {single("c1")} AS c1, {single("c2")} AS c2 FROM (SELECT i, {grid} FROM co)),
+near AS (SELECT a.i, list(b.i ORDER BY b.i) AS others FROM gr a JOIN gr b ON b.i < a.i AND (a.c0 - b.c0) ^ 2 + (a.c1 - b.c1) ^ 2 + (a.c2 - b.c2) ^ 2 < {(2 * sigma) ** 2} GROUP BY a.i),
+dealt AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS f
+  UNION ALL
+  SELECT n + 1, list_append(f, coalesce(list_min(list_filter(range(16), lambda k: NOT list_contains(list_transform(coalesce(others, CAST([] AS BIGINT[])), lambda o: f[o + 1]), k))), 0)) FROM dealt LEFT JOIN near ON near.i = n WHERE n < {items}
+)
+SELECT CAST(i AS INTEGER) AS item, round(CAST(c0 AS DOUBLE), 3) AS x, round(CAST(c1 AS DOUBLE), 3) AS y, round(CAST(c2 AS DOUBLE), 3) AS z, CAST((SELECT f FROM dealt WHERE n = {items})[i + 1] AS INTEGER) AS freq FROM gr"""
+
+
+def _writes(name: str, rows: str, sigma: float, sign: str) -> str:
+    return f"""{touched(f"{name}_t", rows, sigma)}, {name} AS (SELECT container_id, j, turn, {i8(f"({single(f'{sign} amp')} * e * {cosine('freq', 'phase')})")} AS sample FROM {name}_t)"""
+
+
+ARCHETYPES = f"""WITH {WAVES}, {CARRIERS}, plane AS (SELECT px AS x, py AS y, pz AS z, j AS place FROM vx WHERE pz = 16), {touched("pt", "plane", 1.5)},
+ra AS (SELECT place, x, y, f, freq, j, e255 / 255.0::DOUBLE AS w, CAST({TAU} * ({single("freq")} * {single("along")} / 32::FLOAT) AS DOUBLE) AS a FROM pt, fr),
+rw AS (SELECT place, f, sum(w * w) AS total FROM ra GROUP BY 1, 2), ids AS (SELECT DISTINCT container_id FROM wr0),
+rs AS (SELECT container_id, place, any_value(r.x) AS x, any_value(y) AS y, f, any_value(freq) AS freq, sum(wc.x * w * cos(a)) AS c, sum(wc.x * w * sin(a)) AS s FROM ra r JOIN wc USING (j) GROUP BY container_id, place, f),
+am AS (SELECT container_id, rs.x, rs.y, rs.f, freq, {turned("c", "s")} AS phase, {single("sqrt(c * c + s * s) * 2 / total")} AS amp FROM rs JOIN rw ON rw.place = rs.place AND rw.f = rs.f),
+found AS (SELECT h.*, 16 AS z, row_number() OVER (PARTITION BY container_id ORDER BY x, y, f) AS turn FROM am h WHERE amp > 8 AND NOT EXISTS (SELECT 1 FROM am o WHERE o.container_id = h.container_id AND o.f = h.f AND o.x BETWEEN h.x - 1 AND h.x + 1 AND o.y BETWEEN h.y - 1 AND h.y + 1 AND o.amp > h.amp)),
+{_writes("out_", "found", 2.0, "-1 *")}, {_writes("in_", "found", 1.0, "1 *")},
+sm AS (SELECT container_id, j, list(sample ORDER BY side, turn) AS samples FROM (SELECT *, 0 AS side FROM out_ UNION ALL SELECT *, 1 FROM in_) GROUP BY 1, 2),
+cr AS (SELECT container_id, vx.j, list_reduce(coalesce(samples, CAST([] AS BIGINT[])), lambda a, x: greatest(-128, least(127, a + x)), coalesce(wc.x, 0)) AS x FROM ids CROSS JOIN vx LEFT JOIN wc USING (container_id, j) LEFT JOIN sm USING (container_id, j))
+SELECT container_id, CAST((SELECT count(*) FROM found WHERE found.container_id = cr.container_id) AS INTEGER) AS n, {digest("x", "j")} AS crystal FROM cr GROUP BY container_id"""
+
+
 # ---- sums of templates
 
 
