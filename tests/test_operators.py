@@ -310,3 +310,36 @@ def test_hyperplanes_are_stored_by_name(spark, tmp_path):
     queries = spark.createDataFrame([(1, [2, -2] * 16), (2, [-1, 2] * 16)], "query_id long, vec array<int>")
     stored = recognise.recognise(queries, recognise.model(classes, held=got), "hamming").collect()
     assert sorted(stored) == sorted(recognise.recognise(queries, recognise.model(classes, 64, 5), "hamming").collect())
+
+
+def test_cluster_tree(spark, monkeypatch):
+    import random
+
+    from vesper.operators import index
+
+    rng = random.Random(3)
+    centres = [[rng.getrandbits(62) for _ in range(3)] for _ in range(9)]
+    rows = [(i, [w ^ (1 << rng.randrange(60)) for w in rng.choice(centres)]) for i in range(700)] + [(1000, None)]
+    frame = spark.createDataFrame(rows, "row_id long, meta array<bigint>")
+    distance = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    vectors = dict(rows[:-1])
+    for least, sample in ((40, 1 << 16), (40, 60), (5, 100), (10_000, 100)):
+        monkeypatch.setattr(index, "SAMPLE", sample)
+        clusters, members = index.build_channel(frame, "meta", least)
+        known = {r.cluster_id: r for r in clusters.collect()}
+        held: dict[int, list[int]] = {}
+        for r in members.collect():
+            held.setdefault(r.cluster_id, []).append(r.row_id)
+        # each record in one cluster, of the stated size, within the radius
+        assert sorted(i for m in held.values() for i in m) == list(range(700)) and set(held) == set(known)
+        assert len(held) == 1 or min(map(len, held.values())) >= least
+        for k, m in held.items():
+            assert known[k].n == len(m) and known[k].radius == max(distance(vectors[i], known[k].centre) for i in m)
+        if least == 40:
+            assert len(held) >= 6
+        # what the index finds is what a scan finds
+        asked = frame.where("row_id % 100 = 0 and meta is not null").withColumnRenamed("row_id", "query_id")
+        found = index.search_many(frame, clusters, members, asked, "meta", 8)
+        assert sorted(map(tuple, found.collect())) == sorted((q, i, distance(v, w)) for q, v in vectors.items() if q % 100 == 0 for i, w in vectors.items() if distance(v, w) <= 8)
+    none = index.build_channel(frame.where("false"), "meta", 5)
+    assert none[0].collect() == [] and none[1].collect() == []

@@ -8,32 +8,155 @@ distance less its radius is over the threshold can't be within the threshold.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from .search import against
 
 CHANNELS = ("meta", "cam", "btree", "embed")
-#: Centres of a channel at most: they are sent to all tasks.
-MOST_CENTRES = 4096
-
-
-def centres(records: DataFrame, channel: str, rows: int) -> DataFrame:
-    """About one centre for each `rows` records, MOST_CENTRES at most: the records of least hash."""
-    n = records.count()
-    k = max(1, min(MOST_CENTRES, n // max(1, rows)))
-    chosen = records.select("row_id", F.col(channel).alias("centre")).orderBy(F.xxhash64("row_id"), "row_id").limit(k)
-    return chosen.select(F.row_number().over(Window.orderBy("row_id")).alias("cluster_id"), "centre")
+#: Records that a tree of clusters is grown on at most; it has half as many leaves at most, of however many records.
+SAMPLE = 1 << 16
+
+
+@dataclass
+class Tree:
+    """Two-way splits by the nearer of two poles; children are nodes, or leaves as -1 - leaf."""
+
+    poles: np.ndarray
+    children: list[list[int]]
+    centres: np.ndarray
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        out = np.zeros(len(vectors), np.int64)
+        todo = [(0, np.arange(len(vectors)))] if self.children else []
+        while todo:
+            node, rows = todo.pop()
+            far = [np.bitwise_count(vectors[rows] ^ pole).sum(axis=1, dtype=np.int64) for pole in self.poles[node]]
+            right = far[1] < far[0]
+            for child, part in zip(self.children[node], (rows[~right], rows[right]), strict=True):
+                if child < 0:
+                    out[part] = -1 - child
+                elif len(part):
+                    todo.append((child, part))
+        return out
+
+    def merged(self, sizes: np.ndarray, least: int) -> np.ndarray:
+        """By leaf the leaf that it becomes part of, so that each has at least so many records, or all are one."""
+        to = np.arange(len(self.centres))
+        held = [(0, 0)] * len(self.children)  # leaf and size of a node that is one leaf; size -1: it has several
+
+        def of(child: int) -> tuple[int, int]:
+            return (-1 - child, int(sizes[-1 - child])) if child < 0 else held[child]
+
+        for node in range(len(self.children) - 1, -1, -1):  # children come after their parents
+            (a, n), (b, m) = (of(c) for c in self.children[node])
+            if n >= 0 and m >= 0 and min(n, m) < least:
+                to[to == b] = a
+                held[node] = (a, n + m)
+            elif min(n, m) >= 0 or max(n, m) >= least or min(n, m) < 0 and max(n, m) < 0:
+                held[node] = (-1, -1)
+            else:
+                # a small leaf beside a branch of several goes to the branch's first leaf
+                small, branch = (a, self.children[node][1]) if n >= 0 else (b, self.children[node][0])
+                while branch >= 0:
+                    branch = self.children[branch][0]
+                to[to == small] = to[-1 - branch]
+                held[node] = (-1, -1)
+        return to
+
+
+def grow(sample: np.ndarray, records: int, least: int) -> Tree:
+    """A tree on sample rows (words as int64) that stand for so many records, of leaves of at least `least` records, by that reckoning.
+
+    The poles of a node are the row farthest from its first row, and the row farthest from that.
+    """
+    weight = records / max(1, len(sample))
+    poles: list[np.ndarray] = []
+    children: list[list[int]] = []
+    centres: list[np.ndarray] = []
+    todo: list[tuple[np.ndarray, int, int]] = [(np.arange(len(sample)), -1, 0)]
+    while todo:
+        rows, parent, side = todo.pop(0)
+        x = sample[rows]
+        from_first = np.bitwise_count(x ^ x[0]).sum(axis=1, dtype=np.int64)
+        a = x[int(from_first.argmax())]
+        from_a = np.bitwise_count(x ^ a).sum(axis=1, dtype=np.int64)
+        b = x[int(from_a.argmax())]
+        right = np.bitwise_count(x ^ b).sum(axis=1, dtype=np.int64) < from_a
+        if min(int(right.sum()), int((~right).sum())) * weight >= least and right.any():
+            here = len(children)
+            poles.append(np.stack([a, b]))
+            children.append([0, 0])
+            todo += [(rows[~right], here, 0), (rows[right], here, 1)]
+        else:
+            here = -1 - len(centres)
+            # the row whose farthest is nearest, of a few
+            few = x[: 64]
+            apart = np.stack([np.bitwise_count(few ^ c).sum(axis=1, dtype=np.int64) for c in few]).max(axis=1)
+            centres.append(few[int(apart.argmin())])
+        if parent >= 0:
+            children[parent][side] = here
+    words = sample.shape[1]
+    return Tree(np.stack(poles) if poles else np.zeros((0, 2, words), np.int64), children, np.stack(centres))
+
+
+def _words(column) -> np.ndarray:
+    values = column.flatten().to_numpy()
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
+
+
+def tree_members(records: DataFrame, channel: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(cluster_id, centre), and (channel, cluster_id, row_id, dist) of all records: leaves of a tree, each of at least `least` records.
+
+    The tree is grown on SAMPLE records chosen by hash; every record goes down the
+    tree, and leaves that turn out too small become part of their neighbours.
+    Records without a vector are left out; an empty table has no cluster.
+    """
+    spark = records.sparkSession
+    rows = records.where(F.col(channel).isNotNull()).select(F.col("row_id").cast("long").alias("row_id"), F.col(channel).alias("vector"))
+    n = rows.count()
+    kind = records.schema[channel].dataType.simpleString()
+    if not n:
+        return spark.createDataFrame([], f"cluster_id int, centre {kind}"), spark.createDataFrame([], "channel string, cluster_id int, row_id bigint, dist bigint")
+    sample = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE).select("vector").toArrow()
+    tree = grow(_words(sample.column(0).combine_chunks()), n, least)
+    held = spark.sparkContext.broadcast(tree)
+
+    def leaves(batches):
+        for batch in batches:
+            found = held.value.leaves(_words(batch.column(0)))
+            kept, size = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(size.astype(np.int64))], names=["leaf", "n"])
+
+    sizes = np.zeros(len(tree.centres), np.int64)
+    for r in rows.select("vector").mapInArrow(leaves, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        sizes[r.leaf] = r.n
+    to = tree.merged(sizes, least)
+    own = spark.sparkContext.broadcast(to)
+
+    def place(batches):
+        for batch in batches:
+            x = _words(batch.column(1))
+            found = own.value[held.value.leaves(x)]
+            far = np.bitwise_count(x ^ held.value.centres[found]).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), batch.column(0), pa.array(far)], names=["cluster_id", "row_id", "dist"])
+
+    placed = rows.mapInArrow(place, "cluster_id int, row_id bigint, dist bigint").select(F.lit(channel).alias("channel"), "cluster_id", "row_id", "dist")
+    centres = spark.createDataFrame([(int(k), [int(w) for w in tree.centres[k]]) for k in np.unique(to)], f"cluster_id int, centre {kind}")
+    return centres, placed
 
 
 def assign(records: DataFrame, channel: str, centre_table: DataFrame) -> DataFrame:
     """(channel, cluster_id, row_id, dist): the nearest centre of each record, the first of equally near ones.
 
-    The centres, at most MOST_CENTRES rows, are one array in each task; no pair is made for a row and a centre.
+    The centres are one array in each task, which is sent to all; no pair is made for a row and a centre.
     """
     table = centre_table.agg(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("int").alias("cluster_id"), "centre"))).alias("_centres"))
     best = F.array_min(F.transform("_centres", lambda c: F.struct(V.hamming(c["centre"], F.col(channel)).alias("dist"), c["cluster_id"].alias("cluster_id"))))
@@ -41,15 +164,19 @@ def assign(records: DataFrame, channel: str, centre_table: DataFrame) -> DataFra
     return placed.select(F.lit(channel).alias("channel"), F.col("_best.cluster_id").alias("cluster_id"), "row_id", F.col("_best.dist").alias("dist"))
 
 
-def build_channel(records: DataFrame, channel: str, centre_table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    members = assign(records, channel, centre_table)
+def build_channel(records: DataFrame, channel: str, least: int = 64, centre_table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members) of a channel: by a tree of leaves of at least `least` records, or by the nearest of given centres."""
+    if centre_table is None:
+        centre_table, members = tree_members(records, channel, least)
+    else:
+        members = assign(records, channel, centre_table)
     sizes = members.groupBy("channel", "cluster_id").agg(F.max("dist").alias("radius"), F.count("*").alias("n"))
     return sizes.join(F.broadcast(centre_table), "cluster_id").select("channel", "cluster_id", "centre", "radius", "n"), members.select("channel", "cluster_id", "row_id")
 
 
 def build(records: DataFrame, rows: int = 64, given: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Indexes of all four channels, as (clusters, members)."""
-    parts = [build_channel(records, c, given[c] if given else centres(records, c, rows)) for c in CHANNELS]
+    """Indexes of all four channels, as (clusters, members); clusters have at least `rows` records, or the centres given."""
+    parts = [build_channel(records, c, rows, given[c] if given else None) for c in CHANNELS]
     return reduce(DataFrame.unionByName, [p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts])
 
 
