@@ -35,8 +35,10 @@ GROUPS = 512
 STATES = 8
 #: Tokens of the sequences that start the model, and of the segments of texts of more than LONG tokens.
 SEGMENT, LONG = 64, 1 << 16
+#: Rows of expected counts that are summed across partitions as one.
+PIECE = 1024
 #: Tokens whose forward values are held at once, but for those of one text.
-TOKENS = 1 << 21
+TOKENS = 1 << 20
 #: Sequences that the first parameters come from, about, and rounds over them.
 START_SEGMENTS, START_ROUNDS = 8192, 15
 ADD = 0.1
@@ -347,11 +349,11 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str, states: int = STATE
     sample = [np.frombuffer(r.c, np.int32).astype(np.int64) for r in drawn]
     sample.sort(key=lambda c: (len(c), c.tobytes()))
     model = begin([(c, np.array([0, len(c)])) for c in sample], words.prior, states, seed)
-    names = [f"x{k}" for k in range(states)]
+    size = 1 + states + len(words.prior)
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
-        # rows of counts: starts, moves from each state, emissions of each class
+        # counts of starts, moves from each state and emissions of each class, in pieces of so many rows
         def expected(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             counts = blank(states, len(held.value.prior))
             for batch in batches:
@@ -363,12 +365,24 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str, states: int = STATE
                 if classes:
                     expect(now.value, np.concatenate(classes), np.cumsum(np.concatenate(lengths)), counts)
             rows = np.concatenate([counts[0][None, :], counts[1], counts[2]])
-            some = np.flatnonzero(rows.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(rows[some, k]) for k in range(states))], names=["at", *names])
+            for lo in range(0, size, PIECE):
+                if (piece := rows[lo : lo + PIECE]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["at", "x"])
 
-        sums = docs.select(F.col(text_col).cast("string")).mapInArrow(expected, ", ".join(["at bigint", *(f"{x} double" for x in names)])).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
-        rows = np.zeros((1 + states + len(words.prior), states))
-        rows[sums.column(0).to_numpy().astype(np.int64)] = np.stack([sums.column(1 + k).to_numpy() for k in range(states)], axis=1)
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    sums[at] = sums.get(at, 0) + np.frombuffer(x)
+            for at, total in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["at", "x"])
+
+        parts = docs.select(F.col(text_col).cast("string")).mapInArrow(expected, "at bigint, x binary")
+        sums = parts.repartition("at").mapInArrow(summed, "at bigint, x binary").toArrow()
+        rows = np.zeros((size, states))
+        for at, x in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
+            piece = np.frombuffer(x).reshape(-1, states)
+            rows[at : at + len(piece)] = piece
         model = maximise([rows[0], rows[1 : 1 + states], rows[1 + states :]], words.prior)
         now.unpersist()
     return model
