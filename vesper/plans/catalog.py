@@ -313,6 +313,32 @@ def _mod(n: int, less: int) -> Callable[[Column], Column]:
     return lambda x: x % n - less
 
 
+@query(oracles.STREAMS)
+def random_streams(spark, sf):
+    """Of each supplier's name: its hash, the first values of the stream of that seed, and values of a base drawn from the rest."""
+    def values(names: pd.Series) -> pd.DataFrame:
+        rows = []
+        for name in names:
+            seed = K.fnv1a(name)
+            stream = K.SplitMix(seed)
+            rows.append((str(seed), ",".join(map(str, stream.take(3).tolist())), ",".join(map(str, stream.integers(-3, 3, 16).tolist()))))
+        return pd.DataFrame(rows, columns=["hash", "stream", "drawn"])
+
+    made = C.by_batch(values, "struct<hash:string,stream:string,drawn:string>")
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), made(F.col("s_name")).alias("v")).select("id", "v.*")
+
+
+@query(oracles.GENERATED)
+def generated_templates(spark, sf):
+    return oracle.generate_templates(spark, 20, 48, ("signed", 7), 2).select("concept_id", "axis", text("vec").alias("vec"))
+
+
+@query(oracles.perturbed(VECTORS))
+def perturbed_vectors(spark, sf):
+    rows = vectors(spark, sf).withColumn("x", F.transform("ph", lambda x: x - 128))
+    return rows.select("vec_id", text(C.perturb(F.col("x"), F.col("vec_id"), 2.0)).alias("vec"))
+
+
 # ---- focus regions: bytes (id * 31 + j * 17) % 256 for each supplier, masks from its key
 
 
@@ -377,6 +403,13 @@ def focus_addresses(spark, sf):
     return ids.select("concept_id", *[C.concept_focus(F.col("concept_id"), d)[m].alias(f"{d}_{m}") for d in K.DENSITIES for m in ("mx", "my", "mz")])
 
 
+@query(oracles.focus_carriers(REGIONS))
+def focus_carriers(spark, sf):
+    r = regions(spark, sf)
+    encoded = C.focus_carrier_encode(F.lit(bytes(2048)), F.col("mx"), F.col("my"), F.col("mz"), (F.col("id") % 16).cast("int"), F.lit(0.7), F.lit(5.0))
+    return r.select("id", F.md5(encoded).alias("digest"))
+
+
 # ---- layers: each line of an order is a layer over the order's ground
 
 
@@ -411,6 +444,21 @@ def collapse_first_layer(spark, sf):
     return layers.collapse_layer(*order_layers(spark, sf), 0)[0].select("key", F.get("value", F.lit(0)).alias("first"), F.get("value", F.lit(1)).alias("second"))
 
 
+@query(f"WITH {LAYERS}, x AS (SELECT key, bit_xor(d1) AS d1, bit_xor(d2) AS d2 FROM l GROUP BY key) SELECT g.key, xor(g1, coalesce(d1, 0)) AS first, xor(g2, coalesce(d2, 0)) AS second, CAST(0 AS BIGINT) AS depth FROM g LEFT JOIN x USING (key)")
+def collapsed_layers(spark, sf):
+    """All layers written to the ground, which is read through what is left."""
+    return layers.read_all(*layers.collapse_all(*order_layers(spark, sf))).select("key", F.get("value", F.lit(0)).alias("first"), F.get("value", F.lit(1)).alias("second"), "depth")
+
+
+@query(f"WITH {LAYERS}, n AS (SELECT key, count(*) AS n FROM l GROUP BY key) SELECT g.key, coalesce(n, 0) AS top, coalesce(n, 0) + 1 AS depth, true AS clean FROM g LEFT JOIN n USING (key)")
+def pushed_layers(spark, sf):
+    """A clean layer on top of every order's."""
+    ground, own = order_layers(spark, sf)
+    pushed = layers.push(own, ground)
+    top = pushed.groupBy("key").agg(F.max("layer_seq").alias("top"), F.count("*").alias("depth"), F.max_by("delta", "layer_seq").alias("delta"))
+    return top.select("key", "top", "depth", F.forall("delta", lambda x: x == 0).alias("clean"))
+
+
 # ---- overlays, delta cubes and permutations on the supplier bytes
 
 
@@ -434,6 +482,36 @@ def spatial_transforms(spark, sf):
     return r.select("id", checksum(holograph.move("a", x)).alias("rotated_x"), checksum(holograph.move("a", y)).alias("rotated_y"), checksum(holograph.move("a", z)).alias("rotated_z"), checksum(holograph.move("a", d)).alias("turned"), checksum(holograph.move(holograph.move("a", d), holograph.inverse(d))).alias("back"), checksum(holograph.move("a", holograph.compose(x, z))).alias("composed"))
 
 
+@query(f"""WITH {REGIONS} SELECT id, CAST(sum((j + 1) * a) AS BIGINT) AS once, true AS first_back, CAST(1 AS BIGINT) AS left_over, CAST(sum((j + 1) * b) AS BIGINT) AS twice, true AS second_back, false AS third_back, CAST(0 AS BIGINT) AS discarded, true AS clean FROM f GROUP BY id""")
+def overlay_history(spark, sf):
+    """Two snapshots, of b and then a; three times back, of which the last finds none."""
+    r = regions(spark, sf).withColumnRenamed("id", "overlay_id")
+    own = lambda c: r.select("overlay_id", F.col(c).alias("buffer"))
+    none = own("a").select("overlay_id", F.lit(0).cast("long").alias("depth"), "buffer").where("false")
+    held = layers.snapshot(own("a"), layers.snapshot(own("b"), none))
+    one, rest = layers.rewind(layers.discard(own("a")), held)
+    left = rest.groupBy("overlay_id").agg(F.count("*").alias("left_over"))
+    two, rest = layers.rewind(one.drop("rewound"), rest)
+    three, _ = layers.rewind(two.drop("rewound"), rest)
+    gone = layers.discard(three)
+    of = lambda f, value, back: f.select("overlay_id", checksum("buffer").alias(value), F.col("rewound").alias(back))
+    whole = of(one, "once", "first_back").join(left, "overlay_id").join(of(two, "twice", "second_back"), "overlay_id").join(three.select("overlay_id", F.col("rewound").alias("third_back")), "overlay_id")
+    whole = whole.join(gone.select("overlay_id", checksum("buffer").alias("discarded"), F.forall("buffer", lambda x: x == 0).alias("clean")), "overlay_id")
+    return whole.withColumnRenamed("overlay_id", "id")
+
+
+@query(f"""WITH {REGIONS} SELECT id, CAST(sum((j + 1) * xor(a, b)) AS BIGINT) AS xored, CAST(sum((j + 1) * ((a + b) % 256)) AS BIGINT) AS added, CAST(sum((j + 1) * greatest(-128, least(127, a - 128 + b - 128))) AS BIGINT) AS added_i8, CAST(0 AS BIGINT) AS cleared FROM f GROUP BY id""")
+def flushed_overlays(spark, sf):
+    r = regions(spark, sf).withColumnRenamed("id", "overlay_id")
+    signed = lambda c: F.transform(F.col(c), lambda x: x - 128)
+    out = None
+    for how, name, value, buffer in (("xor", "xored", F.col("a"), F.col("b")), ("add", "added", F.col("a"), F.col("b")), ("add_i8", "added_i8", signed("a"), signed("b"))):
+        new, cleared = layers.flush(r.select("overlay_id", value.alias("value")), r.select("overlay_id", buffer.alias("buffer")), how)
+        part = new.select("overlay_id", checksum("value").alias(name))
+        out = part if out is None else out.join(part, "overlay_id")
+    return out.join(cleared.select("overlay_id", checksum("buffer").alias("cleared")), "overlay_id").withColumnRenamed("overlay_id", "id")
+
+
 # ---- co-occurrence: types of event of each user's day
 
 
@@ -694,6 +772,15 @@ def resampled(spark, sf):
     return v.select("vec_id", text(down).alias("down"), text(F.transform(V.upsample("ph", 128), lambda x: (x * 2).cast("long"))).alias("up_twice"))
 
 
+@query(oracles.hebbian_templates(TEMPLATES, COEFFICIENTS))
+def hebbian_templates(spark, sf):
+    t = template_table(spark, sf)
+    one = lambda k, name: F.broadcast(t.where(F.col("concept_id") == k).select(F.col("vec").alias(name)))  # noqa: E731  one row
+    warm = oracle.materialize(coefficient_table(spark, sf), t, BASE).crossJoin(one(0, "a")).crossJoin(one(1, "b"))
+    learnt = oracle.hebbian(warm, F.col("a"), F.col("b"), 0.375, BASE)
+    return learnt.select("entity_id", F.posexplode("vec").alias("pos", "value")).select("entity_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("long").alias("value"))
+
+
 # ---- recogniser
 
 
@@ -774,6 +861,13 @@ def carrier_spectrum(spark, sf):
     return carrier_containers(spark, sf).select("container_id", F.posexplode(C.carrier_spectrum(F.col("container"))).alias("f", "amplitude")).withColumn("amplitude", F.round(F.col("amplitude").cast("double"), 3))
 
 
+@query(oracles.SPECTRAL_DISTANCES)
+def spectral_distances(spark, sf):
+    a = carrier_containers(spark, sf).select("container_id", C.carrier_spectrum(F.col("container")).alias("a"))
+    b = a.select((F.col("container_id") - 1).alias("container_id"), F.col("a").alias("b"))
+    return a.join(b, "container_id").select("container_id", F.round(V.l1_float("a", "b"), 3).alias("distance"))
+
+
 @query(oracles.CARRIER_ROUNDTRIP)
 def carrier_roundtrip(spark, sf):
     encoded = carrier_containers(spark, sf).withColumn("container", C.carrier_encode(F.lit(bytes(2048)), (F.col("container_id") % 16).cast("int"), F.lit(1.5), F.lit(7.0)))
@@ -852,6 +946,17 @@ def points_5d(spark, sf):
 # ---- records
 
 
+@query("""WITH r AS (SELECT i AS row_id, i AS v FROM (SELECT unnest(range(0, 100)) AS i) UNION ALL SELECT 100 + i, i FROM (SELECT unnest(range(0, 20)) AS i))
+SELECT row_id, upper(printf('%02x%02x%02x%02x', CAST(v % 256 AS INTEGER), CAST((v + 3) % 256 AS INTEGER), CAST((v + 6) % 256 AS INTEGER), CAST((v + 9) % 256 AS INTEGER))) AS firsts, CAST(8192 AS INTEGER) AS bytes FROM r""")
+def record_tables(spark, sf):
+    """A table written, appended to and read, by way of Arrow."""
+    path = records.scratch(spark)
+    records.write(records.filled(spark, 100, 3), path)
+    records.append(records.from_arrow(spark, records.to_arrow(records.filled(spark, 20, 3))), path)
+    first = [F.hex(F.substring(c, 2048, 1)) for c in records.CHANNELS]
+    return records.read(spark, path).select("row_id", F.concat(*first).alias("firsts"), F.octet_length(records.pack()).alias("bytes"))
+
+
 @query("SELECT s_suppkey AS row_id, 8192 AS bytes, upper(to_hex(s_suppkey % 256)) AS meta_byte, 'Carrier' AS mode FROM supplier")
 def record_codec(spark, sf):
     keys = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"))

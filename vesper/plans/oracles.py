@@ -357,3 +357,35 @@ def counters(index: str, ham, thresholds: tuple[int, int, int, int]) -> str:
     count = lambda c: f"(SELECT count(*) FROM {c}_got g WHERE g.query_id = q.row_id)"
     return f"""WITH {index}, {near}, {", ".join(steps)}
 SELECT q.row_id AS query_id, (SELECT count(*) FROM meta_c) AS fragments_total, (SELECT count(*) FROM meta_c) - (SELECT count(*) FROM meta_near n WHERE n.query_id = q.row_id) AS fragments_pruned, {count("meta")} AS meta_scanned, {count("cam")} AS cam_fetched, {count("btree")} AS btree_fetched, {count("embed")} AS embed_fetched FROM r q WHERE q.row_id % 50 = 0"""
+
+
+# ---- streams, noise, regions and spectra
+
+STREAMS = f"""WITH h AS (SELECT s_suppkey AS id, {fnv("s_name")} AS seed FROM supplier), {stream("sz", "(SELECT id, seed, n FROM h, (SELECT unnest(range(1, 20)) AS n))", "seed", "n")}
+SELECT id, CAST(any_value(seed) AS VARCHAR) AS hash, string_agg(CAST(z AS VARCHAR), ',' ORDER BY n) FILTER (n <= 3) AS stream, string_agg(CAST(CAST(z % 7::UHUGEINT AS BIGINT) - 3 AS VARCHAR), ',' ORDER BY n) FILTER (n > 3) AS drawn FROM sz GROUP BY id"""
+
+GENERATED = f"""WITH k AS (SELECT c AS concept_id, a AS axis, {fnv("('42:' || c || ':' || a)")} AS seed FROM (SELECT unnest(range(0, 20)) AS c), (SELECT unnest(range(0, 2)) AS a)),
+{stream("gz", "(SELECT concept_id, axis, seed, pos FROM k, (SELECT unnest(range(0, 48)) AS pos))", "seed", "pos + 1")}
+SELECT concept_id, CAST(axis AS INTEGER) AS axis, string_agg(CAST(CAST(z % 7::UHUGEINT AS BIGINT) - 3 AS VARCHAR), ',' ORDER BY pos) AS vec FROM gz GROUP BY concept_id, axis"""
+
+
+def perturbed(vectors: str) -> str:
+    uniform = "max(CAST(z >> 11 AS DOUBLE) / 9007199254740992.0) FILTER (ix % 2 = {k})"
+    return f"""WITH {vectors}, h AS (SELECT vec_id, ph, {fnv("('0:' || vec_id)")} AS seed FROM v), {stream("nz", "(SELECT vec_id, seed, ix FROM h, (SELECT unnest(range(0, 128)) AS ix))", "seed", "ix + 1")},
+u AS (SELECT vec_id, ix // 2 AS pos, {uniform.format(k=0)} AS u1, {uniform.format(k=1)} AS u2 FROM nz GROUP BY 1, 2),
+y AS (SELECT vec_id, pos, (ph[pos + 1] - 128) + 2.0 * (sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2)) AS y FROM u JOIN v USING (vec_id))
+SELECT vec_id, string_agg(CAST(CAST(greatest(-128, least(127, round(y))) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS vec FROM y GROUP BY vec_id"""
+
+
+def focus_carriers(regions: str) -> str:
+    return f"""WITH {regions}, {CARRIERS}, x AS (SELECT r.id, r.j, CASE WHEN m THEN {sample("0.7::FLOAT", "5.0")} ELSE 0 END AS x FROM (SELECT id, j, m FROM f) r JOIN cb ON cb.j = r.j AND cb.f = r.id % 16)
+SELECT id, {digest("x", "j")} AS digest FROM x GROUP BY id"""
+
+
+SPECTRAL_DISTANCES = f"""WITH {CONTAINERS}, m AS (SELECT vec_id, f, sum(x * c) / 2048.0 AS c, sum(x * s) / 2048.0 AS s FROM cc JOIN cb USING (j) GROUP BY vec_id, f), a AS (SELECT vec_id, f, {single("sqrt(c * c + s * s)")} AS a FROM m)
+SELECT x.vec_id AS container_id, round(sum(CAST(abs(x.a - y.a) AS DOUBLE)), 3) AS distance FROM a x JOIN a y ON y.vec_id = x.vec_id + 1 AND y.f = x.f GROUP BY x.vec_id"""
+
+
+def hebbian_templates(templates: str, coefficients: str) -> str:
+    return f"""WITH {templates}, {coefficients}, w AS (SELECT entity_id, i, greatest(-3, least(3, round(sum(coefficient * t)))) AS x FROM cf JOIN tm USING (concept_id) GROUP BY entity_id, i)
+SELECT entity_id, w.i - 1 AS pos, CAST(greatest(-3, least(3, round(x + a.t * b.t * 0.375::DOUBLE))) AS BIGINT) AS value FROM w JOIN tm a ON a.i = w.i AND a.concept_id = 0 JOIN tm b ON b.i = w.i AND b.concept_id = 1"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +57,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the session's checkpoints are in, which executors share; a temporary one only where none is set and the master is local."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="vesper-")
+    return f"{folder.rstrip('/')}/records-{uuid.uuid4().hex}"
+
+
 def pack() -> Column:
     """The 8192-byte form: meta, cam, btree, embed."""
     return F.concat(*CHANNELS)
